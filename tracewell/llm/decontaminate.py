@@ -19,37 +19,43 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BETWEEN), lambda w: w != "")
 
 
-def _window(ws: Column, at: Column, n: int) -> Column:
-    """The window's text as it is compared."""
-    return F.translate(F.array_join(F.slice(ws, at, n), " "), UPPER, LOWER)
+def _grams(ws: Column, n: int) -> Column:
+    """The texts of all windows of n words, in their own case."""
+    none = F.array().cast("array<string>")
+    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(none)
 
 
-def _hashes(ws: Column, n: int) -> Column:
-    """A hash of each window of n words. lower() folds more than A-Z, so equal windows have equal hashes."""
-    return F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.xxhash64(F.slice(ws, i, n)))
+def _hash(gram: Column) -> Column:
+    """lower() folds more than A-Z, so windows equal as compared have equal hashes; it is much faster than translate()."""
+    return F.xxhash64(F.lower(gram))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(h, n, gram, items): the distinct windows of all items; n is less than window for items of fewer words."""
     items = benchmark.select(benchmark[id_col].alias("item_id"), words(benchmark[text_col].cast("string")).alias("w")).where(F.size("w") > 0)
-    n = F.least(F.size("w"), F.lit(window))
-    low = F.transform("w", F.lower)
-    grams = items.select("item_id", "w", low.alias("low"), n.alias("n")).select("item_id", "w", "low", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("at"))
-    text = F.translate(F.array_join(F.slice("w", F.col("at"), F.col("n")), " "), UPPER, LOWER)
-    return grams.select(F.xxhash64(F.slice("low", F.col("at"), F.col("n"))).alias("h"), "n", text.alias("gram"), "item_id").groupBy("h", "n", "gram").agg(F.collect_set("item_id").alias("items"))
+    out = None
+    for n in range(1, window + 1):
+        right = F.size("w") >= n if n == window else F.size("w") == n
+        grams = items.where(right).select("item_id", F.explode(_grams(F.col("w"), n)).alias("gram")).select("item_id", F.lit(n).alias("n"), _hash(F.col("gram")).alias("h"), F.translate("gram", UPPER, LOWER).alias("gram"))
+        out = grams if out is None else out.unionByName(grams)
+    return out.groupBy("h", "n", "gram").agg(F.collect_set("item_id").alias("items"))
 
 
 def hits(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, key, at, n, items) for each place of a document's words, from 1, where a window starts. Candidates by hash are compared as text."""
+    """(doc_id, key, at, n, items) for each place of a document's words, from 0, where a window starts.
+
+    Windows meet by hash; then their texts are compared. The comparison is written as containment both ways, since
+    Spark would make an equality a second join key and compute it for every window of the corpus.
+    """
     small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    split = docs.select("doc_id", "key", words(F.col("text")).alias("w"))
     out = None
     for n in lengths:
-        known = windows.where(F.col("n") == n).drop("n")
-        low = docs.withColumn("low", F.split(F.lower("text"), BETWEEN))
-        low = low.withColumn("low", F.filter("low", lambda w: w != "")).where(F.size("low") >= n)
-        places = low.select("doc_id", "key", "text", F.posexplode(_hashes(F.col("low"), n)).alias("at", "h"))
-        found = places.join(F.broadcast(known) if small else known, "h").withColumn("at", F.col("at") + 1)
-        found = found.where(_window(words(F.col("text")), F.col("at"), n) == F.col("gram")).select("doc_id", "key", "at", F.lit(n).alias("n"), "items")
+        known = windows.where(F.col("n") == n).select("h", F.col("gram").alias("item_gram"), "items")
+        places = split.select("doc_id", "key", F.posexplode(_grams(F.col("w"), n)).alias("at", "gram")).withColumn("h", _hash(F.col("gram")))
+        seen = F.translate("gram", UPPER, LOWER)
+        found = places.join(F.broadcast(known) if small else known, "h").where(seen.contains(F.col("item_gram")) & F.col("item_gram").contains(seen))
+        found = found.select("doc_id", "key", "at", F.lit(n).alias("n"), "items")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -66,7 +72,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     The windows go to every executor as a hash table while their number is below BROADCAST_WINDOWS, which is counted,
     else both sides are shuffled by hash. Only hits leave the scan.
     """
-    windows = cut(benchmark_windows(benchmark, window, text_col="text"))
+    windows = cut(benchmark_windows(benchmark, window))
     lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # at most `window` numbers
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("key", F.xxhash64("text"))
@@ -75,7 +81,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     if not lengths:
         return rows.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("spans"))
     found = hits(base, windows, lengths).groupBy("doc_id", "key").agg(
-        F.array_sort(F.collect_set(F.struct((F.col("at") - 1).alias("first"), (F.col("at") + F.col("n") - 2).alias("last")))).alias("places"),
+        F.array_sort(F.collect_set(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last")))).alias("places"),
         F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string"))).alias("items"),
     )
     start = F.expr("cast(array() as array<struct<first:int,last:int>>)")
