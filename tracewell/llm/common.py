@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,3 +61,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = (now.n, now.s)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def keep_only(docs: DataFrame, keepers: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id and key are among keepers(doc_id, key, n); where n tells that several rows have them, one of these.
+
+    Rows that are one of a kind, nearly all, are not grouped: their texts meet the keepers in a join that Spark makes a
+    broadcast where the keepers are few.
+    """
+    names = docs.columns
+    held = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[id_col].cast("long").alias("row_id"), key.alias("row_key"))
+    keepers = cut(keepers.select("doc_id", "key", "n"))
+    on = held.row_id.eqNullSafe(keepers.doc_id) & held.row_key.eqNullSafe(keepers.key)
+    single = held.join(keepers.where("n = 1"), on, "left_semi").select("row.*")
+    several = keepers.where("n > 1")
+    if several.isEmpty():
+        return single
+    return single.unionByName(held.join(several, on, "left_semi").groupBy("row_id", "row_key").agg(F.first("row").alias("row")).select("row.*"))

@@ -64,7 +64,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     """Find each document's words that lie inside a window of any benchmark item.
 
     Returns one row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (array of
-    struct<first, last>: the maximal runs of hit words, from 0, for callers that cut passages out). items_sha256 is of
+    struct<first, last>: the maximal runs of hit words, from 0, for callers that cut passages out),
+    text_hash. items_sha256 is of
     the empty string where no item occurs. Null and empty texts, of a document or an item, have no words. An item in
     several rows counts as all of them; null item ids are found but not counted. Repeated documents each get their
     row. Columns other than those named are not read. Either table may be empty.
@@ -79,7 +80,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     rows = base.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.sha2(F.lit(""), 256)
     if not lengths:
-        return rows.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("spans"))
+        return rows.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("spans"), F.col("key").alias("text_hash"))
     found = hits(base, windows, lengths).groupBy("doc_id", "key").agg(
         F.array_sort(F.collect_set(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last")))).alias("places"),
         F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string"))).alias("items"),
@@ -97,8 +98,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     joined = rows.join(found, rows.doc_id.eqNullSafe(found.d) & (rows.key == found.k), "left")
     n_hit = F.aggregate(F.coalesce("spans", start), F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("spans", start).alias("spans"))
+    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("spans", start).alias("spans"), F.col("key").alias("text_hash"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents that hold a window of an item; all columns stay."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    judged = decontaminate(docs.select(docs[id_col].alias("doc_id"), text.alias("text")), benchmark, window)
+    hit = cut(judged.where("contaminated").select("doc_id", "text_hash").distinct())
+    rows = docs.withColumn("__text_hash", F.xxhash64(text))
+    return rows.join(hit, docs[id_col].cast("long").eqNullSafe(hit.doc_id) & (rows["__text_hash"] == hit.text_hash), "left_anti").drop("__text_hash")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "text_hash")

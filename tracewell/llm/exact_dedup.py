@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, table
+from .common import cut, keep_only, scratch, table
 
 
 class DigestIndex:
@@ -59,5 +59,12 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     return judged.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without what exact_dedup() drops; all columns stay."""
+    judged = exact_dedup(docs, index, id_col, text_col)
+    keepers = judged.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept")
+    return keep_only(docs, keepers.select("doc_id", F.col("text_sha256").alias("key"), "n"), F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256), id_col)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), DigestIndex(spark, scratch(spark, "digests")))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from itertools import filterfalse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ WINDOW = 32
 #: Distinct words whose labels a worker keeps.
 CACHE_WORDS = 1_000_000
 UNKNOWN = "und"
+#: What keep_languages() asks for; with four languages a toss-up has 0.25.
+LEAST_SCORE = 0.4
 
 
 class BiGRU:
@@ -243,6 +246,20 @@ def identify(docs: DataFrame, net: BiGRU, id_col: str = "doc_id", text_col: str
     return base.mapInArrow(lambda it: _predict(it, net, sharp), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_languages(docs: DataFrame, net: BiGRU, least: float = LEAST_SCORE, text_col: str = "text", sharp: float = 8.0) -> DataFrame:
+    """docs whose language is recognised with a score of at least `least`; all columns stay. Nothing is shuffled."""
+
+    @F.pandas_udf("boolean")
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            column = pa.array(some, pa.string())
+            ids = pa.nulls(len(column), pa.int64())
+            said = [b for b in _predict(iter([pa.RecordBatch.from_arrays([ids, ids, column], ["doc_id", "held_out", "text"])]), net, sharp)]
+            yield pd.Series([p != UNKNOWN and s >= least for b in said for p, s in zip(b.column("lang_pred").to_pylist(), b.column("score").to_pylist(), strict=True)], dtype=bool)
+
+    return docs.where(known(docs[text_col].cast("string")))
+
+
 def op4_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit_language(docs))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, parts, table
+from .common import connected_components, cut, keep_only, parts, table
 from .tokens import batches
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -194,25 +194,34 @@ def _print(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         ids = batch.column("doc_id")
         for k, texts in batches(batch):
-            yield pa.RecordBatch.from_arrays([ids.slice(k, len(texts)), pa.array(fingerprints(texts).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([ids.slice(k, len(texts)), batch.column("text_hash").slice(k, len(texts)), pa.array(fingerprints(texts).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach).
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach), text_hash, group (a fingerprint, alike for a component).
 
     Equal fingerprints are one node, so copies never make pairs. Null and empty texts have fingerprint zero, and link
     like any other. Null ids are left out of the smallest; a component of null ids only has a null one. Repeated rows
     each get their row, an empty table gives none, other columns are not read.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    prints = cut(base.mapInArrow(_print, "doc_id long, fp long"))
+    prints = cut(base.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_print, "doc_id long, text_hash long, fp long"))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     groups = cut(connected_components(near_links(nodes.select("fp"))))
     named = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = named.join(ids, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = named.join(ids, "component").select("fp", "component_id", "component")
+    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", F.col("component").alias("group"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, the one with the smallest id (null ids last; of one id the smallest hash of the text); all columns stay."""
+    rows = simhash_groups(docs, id_col, text_col)
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("text_hash").alias("key"))
+    copies = rows.groupBy("group", first.alias("first")).agg(F.count("*").alias("n"))
+    keepers = copies.groupBy("group").agg(F.min(F.struct("first", "n")).alias("m")).select("m.first.doc_id", "m.first.key", "m.n")
+    return keep_only(docs, keepers, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))), id_col)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
