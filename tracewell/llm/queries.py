@@ -6,13 +6,14 @@ from .decontaminate import op10_decontaminate
 from .exact_dedup import op5_exact_dedup
 from .toxicity import op2_fm_toxicity
 from .simhash import op8_simhash_near_dedup
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op3_trie_token_counts
 from .language import op4_bigru_language
 from .packing import op7_best_fit_packing
 from .repair import op1_repair_tokens
 from .url_filters import op6_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_repair_tokens, op2_fm_toxicity, op3_trie_token_counts, op4_bigru_language, op5_exact_dedup, op6_url_filters, op7_best_fit_packing, op8_simhash_near_dedup, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_repair_tokens, op2_fm_toxicity, op3_trie_token_counts, op4_bigru_language, op5_exact_dedup, op6_url_filters, op7_best_fit_packing, op8_simhash_near_dedup, op9_suffix_dedup, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
