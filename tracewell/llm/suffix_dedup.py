@@ -144,7 +144,7 @@ def anchors(buf: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = AN
         rest >>= 1
         if rest:
             x = x[: len(x) - width] * power + x[width:]
-            power, width = power * power, 2 * width
+            power, width = np.multiply([power], [power])[0], 2 * width
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)

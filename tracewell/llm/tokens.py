@@ -41,45 +41,55 @@ class Encoder:
     def _learn(self, units: set[str]) -> None:
         known, parts, todo = self.known, {}, set()
         for u in units:
-            bare = u[1:] if u[:1] == " " else u
-            if not bare or bare[0].isspace() or bare[-1].isspace():
+            bare = u[1:] if u[0] == " " else u
+            if bare.isalpha():
+                todo.add(u)
+            elif not bare or bare[0].isspace() or bare[-1].isspace():
                 known[u] = None  # the text has to be encoded whole
             elif "<|" in u:
                 known[u] = self._whole(u).tobytes()
             else:
-                parts[u] = p = _PARTS.split(u)
-                todo.update(x for x in p if x not in known)
+                p = _PARTS.split(u)
+                if len(p) > 1:
+                    parts[u] = p
+                todo.update(filterfalse(known.__contains__, p))
         lines = [x for x in todo if "\n" not in x]
-        for x in todo.difference(lines):
+        for x in todo.difference(lines) if len(lines) < len(todo) else ():
             known[x] = self._whole(x).tobytes()
         for k in range(0, len(lines), 4096):
             some = lines[k : k + 4096]
             ids = self._whole("\n".join(some))
-            ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids)).tolist()
-            start = 0
+            ends = (4 * np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))).tolist()
+            start, raw = 0, ids.tobytes()
             for x, end in zip(some, ends, strict=True):
-                known[x] = ids[start:end].tobytes()
-                start = end + 1
+                known[x] = raw[start:end]
+                start = end + 4
         for u, p in parts.items():
-            if len(p) > 1:
-                known[u] = b"".join([known[x] for x in p])
+            got = [known[x] for x in p]
+            known[u] = self._whole(u).tobytes() if None in got else b"".join(got)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_UNITS:
             self.known = {"": b""}
-        chains, new, has = [], set(), self.known.__contains__
+        get, chains, new = self.known.get, [], set()
         for text in texts:
             units = text.replace(" ", "\0 ").split("\0")
-            chains.append(units)
-            new.update(filterfalse(has, units))
+            ids = list(map(get, units))
+            if None in ids:
+                missing = {k: units[k] for k, x in enumerate(ids) if x is None}
+                new.update(missing.values())
+            else:
+                missing = {}
+            chains.append((text, ids, missing))
+        new.difference_update(self.known)  # those known to be no unit
         if new:
             self._learn(new)
-        get, out = self.known.__getitem__, []
-        for text, units in zip(texts, chains, strict=True):
-            try:
-                out.append(b"".join(map(get, units)) if "\0" not in text else self._whole(text).tobytes())
-            except TypeError:
-                out.append(self._whole(text).tobytes())
+        out = []
+        for text, ids, missing in chains:
+            for k, u in missing.items():
+                ids[k] = get(u)
+            whole = "\0" in text or missing and None in ids
+            out.append(self._whole(text).tobytes() if whole else b"".join(ids))
         return out
 
 
