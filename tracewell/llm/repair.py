@@ -17,8 +17,10 @@ from .tokens import batches, encoder
 END_ID = 2
 #: Ids of a shard, at least; a shard ends with a document.
 SHARD_IDS = 1_000_000
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 8192, 8
-_BITS = 20
+ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 8192, 8
+_BITS = 18
+#: Places of shards beyond so many are joined by a shuffle.
+BROADCAST_SHARDS = 1_000_000
 
 FILE_SCHEMA = "part int, shard int, n_docs int, n_ids long, doc_ids binary, no_id binary, doc_symbols binary, first_rule long, rules binary, rule_lengths binary, symbols binary"
 OUT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -35,27 +37,32 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray, first_rule: int) -> tuple[n
         if len(symbols) < 2:
             break
         pairs = symbols[:-1] << 32 | symbols[1:]
-        inner = np.ones(len(pairs), bool)
-        inner[np.cumsum(sizes)[:-1] - 1] = False
         slot = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
-        counts = np.bincount(slot[inner], minlength=1 << _BITS)
-        # a pair is no more frequent than its slot, so pairs outside these slots can't be among the chosen
+        slot[np.cumsum(sizes)[:-1] - 1] = 1 << _BITS  # no pair over a document's end
+        counts = np.bincount(slot, minlength=(1 << _BITS) + 1)
+        counts[-1] = 0
+        # a pair is no more frequent than its slot; of the pairs in a frequent slot one stands for it, and is counted alone
         bar = max(LEAST_COUNT, int(np.partition(counts, -RULES_A_ROUND)[-RULES_A_ROUND]))
-        at = np.flatnonzero((counts >= bar)[slot] & inner)
-        values, where, n = np.unique(pairs[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")[:RULES_A_ROUND]
-        order = order[n[order] >= LEAST_COUNT]
+        at = np.flatnonzero((counts >= bar)[slot])
+        near, found = slot[at], pairs[at]
+        stands = np.zeros((1 << _BITS) + 1, np.int64)
+        stands[near] = found
+        own = stands[near] == found
+        at, near = at[own], near[own]
+        n = np.bincount(near, minlength=1 << _BITS)
+        order = np.flatnonzero(n >= LEAST_COUNT)
+        order = order[np.argsort(-n[order], kind="stable")[:RULES_A_ROUND]]
         if not len(order):
             break
-        number = np.full(len(values), -1, np.int64)
+        number = np.full(len(n), -1, np.int64)
         number[order] = first_rule + len(rules) + np.arange(len(order))
-        named = number[where]
+        named = number[near]
         at, named = at[named >= 0], named[named >= 0]
         starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         run = np.repeat(starts, np.diff(starts, append=len(at)))
         take = (np.arange(len(at)) - run) % 2 == 0
         at, named = at[take], named[take]
-        rules.extend(zip((values[order] >> 32).tolist(), (values[order] & 0xFFFFFFFF).tolist(), strict=True))
+        rules.extend(zip((stands[order] >> 32).tolist(), (stands[order] & 0xFFFFFFFF).tolist(), strict=True))
         symbols[at] = named
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
@@ -147,7 +154,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     totals = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     within = sizes.select("part", "shard", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")).alias("inside"))
     starts = within.join(totals, "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("start"))
-    return shards.join(starts, ["part", "shard"])
+    few = starts.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
+    return shards.join(F.broadcast(starts) if few else starts, ["part", "shard"])
 
 
 def _documents(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,9 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units kept by a worker; beyond, they are forgotten and encoded again.
-CACHE_UNITS = 1_000_000
+#: Units kept by a worker; beyond, all but the last ones are forgotten, and encoded again when they come.
+CACHE_UNITS = 1_400_000
+_MARKS = set(".,;:!?|)")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Places where a byte-level BPE pre-tokenizer always parts: a letter before punctuation, punctuation before a line end, a lone line end before a letter.
 _PARTS = re.compile(rf"(?<=[{_LETTER}])(?=[.,;:!?|)\n])|(?<=[.,;:!?])(?=\n)|(?<=\S\n)(?=[{_LETTER}])")
@@ -44,6 +45,10 @@ class Encoder:
             bare = u[1:] if u[0] == " " else u
             if bare.isalpha():
                 todo.add(u)
+            elif bare[-1:] in _MARKS and bare[:-1].isalpha() and bare[-2] < "\u0250":
+                stem = u[:-1]
+                parts[u] = stem, u[-1]
+                todo.update(x for x in parts[u] if x not in known)
             elif not bare or bare[0].isspace() or bare[-1].isspace():
                 known[u] = None  # the text has to be encoded whole
             elif "<|" in u:
@@ -69,8 +74,6 @@ class Encoder:
             known[u] = self._whole(u).tobytes() if None in got else b"".join(got)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_UNITS:
-            self.known = {"": b""}
         get, chains, new = self.known.get, [], set()
         for text in texts:
             units = text.replace(" ", "\0 ").split("\0")
@@ -90,6 +93,8 @@ class Encoder:
                 ids[k] = get(u)
             whole = "\0" in text or missing and None in ids
             out.append(self._whole(text).tobytes() if whole else b"".join(ids))
+        if len(self.known) > CACHE_UNITS:  # what this call met is the likeliest to come again
+            self.known = {"": b""} | {u: x for text, ids, _ in chains for u, x in zip(text.replace(" ", "\0 ").split("\0"), ids, strict=True)}
         return out
 
 
