@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canon, grams
+from ..functions.text import canon, grams, let
 from ..functions.values import number_readings, number_runs, value_numbers
+from .grouped import by_group
 
 
 def header_bands(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The header of each page: doc_id, page, row_ord, n_labels; the row with the most labels (two at least), of equals the topmost."""
     hits = rows.crossJoin(F.broadcast(labels.limit(1000).select(F.collect_list(canon(F.col("label"))).alias("labels"))))
-    n = F.size(F.filter("labels", lambda a: (a != "") & F.contains(canon(F.col("text")), a)))
+    n = let(canon(F.col("text")), lambda hay: F.size(F.filter("labels", lambda a: (a != "") & F.contains(hay, a))))
     best = hits.withColumn("n_labels", n).where("n_labels >= 2").groupBy("doc_id", "page").agg(F.max(F.struct("n_labels", (-F.col("top")).alias("up"), (-F.col("row_ord")).alias("ord"))).alias("b"))
     return best.select("doc_id", "page", (-F.col("b.ord")).alias("row_ord"), "b.n_labels")
 
@@ -33,7 +33,7 @@ def pair_hits(cells: DataFrame, rows: DataFrame) -> DataFrame:
     of whose cells are shorter meet every row of their document. A number cell counts by its readings, another by its
     canonical text.
     """
-    g = cells.select("doc_id", "item", F.explode_outer(F.when(F.size(grams(F.col("value"))) > 0, grams(F.col("value")))).alias("gram"))
+    g = cells.select("doc_id", "item", F.explode_outer(grams(F.col("value"))).alias("gram"))
     bare = g.groupBy("doc_id", "item").agg(F.count("gram").alias("n")).where("n = 0").select("doc_id", "item")
     by_gram = g.where("gram is not null").distinct().join(rows.select("doc_id", "row_ord", F.explode(grams(F.col("text"))).alias("gram")), ["doc_id", "gram"]).select("doc_id", "item", "row_ord").distinct()
     pairs = by_gram.unionByName(bare.join(rows.select("doc_id", "row_ord"), "doc_id"))
@@ -47,35 +47,41 @@ def pair_hits(cells: DataFrame, rows: DataFrame) -> DataFrame:
 def assign_rows(hits: DataFrame) -> DataFrame:
     """Items to rows, one to one, in the order of both, with the most cells: doc_id, item, row_ord.
 
-    A dynamic programme over one table, a group of an Arrow function; a tie leaves the later row out. Items that the
-    order leaves without a row then take the best row that is still free.
+    Where each item's best row (the first of equals) lies below the item's before, these are the answer, found by
+    windows. For other tables a dynamic programme over the table decides, which leaves the later row out in a tie;
+    items that the order leaves without a row then take the best row that is still free.
     """
-
-    def solve(t: pd.DataFrame) -> pd.DataFrame:
-        items, rows = np.sort(t["item"].unique()), np.sort(t["row_ord"].unique())
+    best = Window.partitionBy("doc_id", "item").orderBy(F.desc("n_cells"), "row_ord")
+    picks = hits.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("doc_id", "item", "row_ord")
+    torn = picks.withColumn("before", F.lag("row_ord").over(Window.partitionBy("doc_id").orderBy("item"))).groupBy("doc_id").agg(F.bool_or(F.col("before") >= F.col("row_ord")).alias("torn"))
+    marked = hits.join(torn.where("torn").select("doc_id"), "doc_id", "left_semi")
+    easy = picks.join(torn.where("torn").select("doc_id"), "doc_id", "left_anti")
+
+    def solve(t: list) -> list[tuple]:
+        items, rows = np.unique([h.item for h in t]), np.unique([h.row_ord for h in t])
         worth = np.zeros((len(items), len(rows)))
-        worth[np.searchsorted(items, t["item"]), np.searchsorted(rows, t["row_ord"])] = t["n_cells"]
-        best = np.zeros((len(items) + 1, len(rows) + 1))
-        for i in range(len(items)):  # of the best with this pair and the best without, a row at a time
-            take = np.where(worth[i] > 0, best[i, :-1] + worth[i], 0.0)
-            best[i + 1, 1:] = np.maximum.accumulate(np.maximum(take, best[i, 1:]))
+        worth[np.searchsorted(items, [h.item for h in t]), np.searchsorted(rows, [h.row_ord for h in t])] = [h.n_cells for h in t]
+        most = np.zeros((len(items) + 1, len(rows) + 1))
+        for i in range(len(items)):
+            take = np.where(worth[i] > 0, most[i, :-1] + worth[i], 0.0)
+            most[i + 1, 1:] = np.maximum.accumulate(np.maximum(take, most[i, 1:]))
         pairs, i, j = {}, len(items), len(rows)
         while i and j:
-            if best[i, j] == best[i, j - 1]:
+            if most[i, j] == most[i, j - 1]:
                 j -= 1
-            elif best[i, j] == best[i - 1, j]:
+            elif most[i, j] == most[i - 1, j]:
                 i -= 1
             else:
                 pairs[i - 1] = j - 1
                 i, j = i - 1, j - 1
         free = set(range(len(rows))) - set(pairs.values())
         for i in range(len(items)):
-            if i not in pairs and (open_ := [j for j in sorted(free) if worth[i, j] > 0]):
+            if i not in pairs and (open_ := [j for j in free if worth[i, j] > 0]):
                 pairs[i] = max(open_, key=lambda j: (worth[i, j], -j))
                 free.discard(pairs[i])
-        return pd.DataFrame({"doc_id": t["doc_id"].iloc[0], "item": [items[i] for i in sorted(pairs)], "row_ord": [rows[pairs[i]] for i in sorted(pairs)]})
+        return [(t[0].doc_id, int(items[i]), int(rows[pairs[i]])) for i in sorted(pairs)]
 
-    return hits.groupBy("doc_id").applyInPandas(solve, "doc_id long, item int, row_ord int")
+    return easy.unionByName(by_group(marked, ["doc_id"], ["item", "row_ord"], solve, "doc_id long, item int, row_ord int"))
 
 
 def territories(assigned: DataFrame, reach: int = 2) -> DataFrame:

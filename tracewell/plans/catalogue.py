@@ -408,7 +408,7 @@ def mask_secret(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.mask_secret(F.col("c_name")).alias("masked"))
 
 
-@query("SELECT o_orderstatus AS model, sum(round(((o_orderkey % 1000) * 3.0 + (o_custkey % 500) * 15.0) / 1e6, 5)) AS usd FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS model, sum((((o_orderkey % 1000) * 3 + (o_custkey % 500) * 15 + 5) // 10) / 1e5) AS usd FROM orders GROUP BY 1")
 def estimate_usd(spark, sf_dir):
     price = F.struct(F.lit(3.0).alias("usd_in"), F.lit(15.0).alias("usd_out"))
     usd = V.estimate_usd(price, F.col("o_orderkey") % 1000, F.col("o_custkey") % 500)
