@@ -41,6 +41,26 @@ def suffix_array(s: list[int]) -> list[int]:
     prev, done = [-1] * n, bytearray(n)
     g = len(lists) - 1
     while g >= 0:
+        if size[g] == 1:  # most groups; the steps below for one suffix
+            for i in lists[g]:
+                if group[i] == g:
+                    break
+            done[i] = 1
+            j = i - 1
+            while j >= 0 and done[j]:
+                j = prev[j]
+            prev[i] = j
+            if j >= 0 and size[h := group[j]] > 1:
+                group[j] = new = len(lists)
+                lists.append([j])
+                size.append(1)
+                size[h] -= 1
+                up.append(up[h])
+                down.append(h)
+                down[up[h]] = new
+                up[h] = new
+            g = down[g]
+            continue
         own = [i for i in lists[g] if group[i] == g]
         own.sort()
         for i in own:
@@ -94,8 +114,6 @@ def window_minima(strings: list[tuple[bytes, int]], length: int = LENGTH) -> lis
 
     Equal ones lie side by side in the suffix array of all strings together.
     """
-    if len(strings) == 1:
-        return [[strings[0][1]] * (len(strings[0][0]) - length + 1)]
     joined: list[int] = []
     owner: list[int] = []
     starts = []
@@ -278,6 +296,10 @@ def _solve(t: pa.Table) -> pa.Table:
     runs: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
     for anchor, heap in heaps.items():
         strings = list(heap.items())
+        if len(strings) == 1:
+            text, number = strings[0]
+            runs[anchor, text] = [(0, len(text) - LENGTH + 1, number)]
+            continue
         for (text, _), minima in zip(strings, window_minima(strings), strict=True):
             spans, at = [], 0
             for value, same in groupby(minima):
@@ -361,15 +383,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     n = parts(spark)
+    buckets = 8 * n  # of anchors: contexts are larger in Python than in a block
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     name = f"suffix_blocks_{uuid.uuid4().hex}"
     blocks = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
     blocks.write.bucketBy(n, "block").sortBy("block").option("compression", "zstd").format("parquet").saveAsTable(name, path=scratch(spark, name))
     blocks = spark.table(name).select("block", "doc_id", "text")
-    found = blocks.groupBy("block").applyInArrow(lambda t: _block_anchors(t, n), "bucket int, block int, data binary")
+    found = blocks.groupBy("block").applyInArrow(lambda t: _block_anchors(t, buckets), "bucket int, block int, data binary")
     marks = cut(found.groupBy("bucket").applyInArrow(_repeated, "block int, kind int, data binary"))
     shape = "bucket int, block int, anchor array<long>, context array<binary>, least array<long>"
-    contexts = blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda t, m: _block_contexts(t, m, n) if t.num_rows else _none(shape), shape)
+    contexts = blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda t, m: _block_contexts(t, m, buckets) if t.num_rows else _none(shape), shape)
     replies = cut(contexts.groupBy("bucket").applyInArrow(_solve, "block int, kind int, data binary"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return blocks.groupBy("block").cogroup(marks.unionByName(replies).groupBy("block")).applyInArrow(lambda t, m: _cut_out(t, m, texts) if t.num_rows else _none(out), out)
