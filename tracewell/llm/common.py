@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,17 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, clear: Callable[[], None] | None = None) -> None:
+    """A worker process serves this operator from now on. What other operators keep in it is dropped, so that a reused worker has one cache at a time."""
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    if clear:
+        _HELD[name] = clear
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir; where that is unset, as in tests, an own one."""
     sc = spark.sparkContext

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hold, table
 from .tokens import batches
 
 #: Documents that the network is fitted on, at most: those of the smallest hash. Their words train it; all else covers every document.
@@ -21,7 +21,7 @@ HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 12, 700, 384, 0.01
 #: Bytes of a reading window. The state is begun anew at white space, and inside longer words after so many bytes.
 WINDOW = 32
 #: Distinct words whose labels a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 UNKNOWN = "und"
 #: What keep_languages() asks for; with four languages a toss-up has 0.25.
 LEAST_SCORE = 0.4
@@ -186,6 +186,7 @@ def _reader(net: BiGRU) -> Reader:
 
 
 def _predict(it: Iterator[pa.RecordBatch], net: BiGRU, sharp: float) -> Iterator[pa.RecordBatch]:
+    hold("language", _READERS.clear)
     reader = _reader(net)
     for batch in it:
         for k, texts in batches(batch):

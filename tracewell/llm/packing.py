@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts, table
+from .common import cut, hold, parts, table
 from .tokens import batches, encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -23,6 +23,7 @@ Pattern = tuple[dict[int, int], int]
 
 
 def _pieces(it: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
+    hold("tokens", encoder.cache_clear)
     enc, end = encoder(path), np.array([END_ID], "<u4").tobytes()
     for batch in it:
         own = batch.column("doc_id").to_pylist()

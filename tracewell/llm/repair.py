@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, scratch, table
+from .common import hold, parts, scratch, table
 from .tokens import batches, encoder
 
 END_ID = 2
@@ -102,6 +102,7 @@ def read_document(row, k: int) -> np.ndarray:
 
 
 def _shards(it: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    hold("tokens", encoder.cache_clear)
     enc, part, shard = encoder(path), TaskContext.get().partitionId(), 0
     keys: list[int | None] = []
     ids: list[bytes] = []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, keep_only, parts, table
+from .common import connected_components, cut, hold, keep_only, parts, table
 from .tokens import batches
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -191,6 +191,7 @@ def _long(x: int) -> Column:
 
 
 def _print(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("simhash")
     for batch in it:
         ids = batch.column("doc_id")
         for k, texts in batches(batch):

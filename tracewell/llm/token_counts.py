@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hold, table
 from .tokens import batches
 
 #: Nodes of a worker's trie; beyond, it is begun anew.
@@ -107,6 +107,7 @@ def _trie(model_path: str) -> UnigramTrie:
 
 
 def _count(it: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa.RecordBatch]:
+    hold("trie", _trie.cache_clear)
     trie = _trie(model_path)
     for batch in it:
         ids = batch.column("doc_id")
