@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, exact_dedup, packing, repair, simhash, suffix_dedup, token_counts, toxicity, url_filters
+from tracewell.llm import decontaminate, exact_dedup, near_copies, packing, repair, simhash, suffix_dedup, token_counts, toxicity, url_filters
 from tracewell.llm.common import connected_components, scratch
 
 TEXTS = [(1, "same text here"), (2, "same text here"), (3, None), (4, ""), (None, "same text here"), (5, "É one"), (5, "É one"), (6, "x" * 70000), (7, "Other words entirely, and more of them.")]
@@ -112,6 +112,49 @@ def test_simhash_hot_blocks(spark, monkeypatch):
         assert {x: got.get(x, x) for x in signed} == {x: root(x) for x in signed}
 
 
+def test_near_copies_against_brute_force(spark, empty, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(400)}"
+    rows = [(None, ""), (500, None), (501, "one two"), (502, "One  two")]
+    for k in range(40):
+        base = [word() for _ in range(rng.randint(3, 120))]
+        for j in range(rng.choice([1, 2, 9])):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((10 * k + j, " ".join(w) + (" a line that very many of the texts have in common" if k % 2 else "")))
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {min((i is None, i or 0) for (i, _), r in zip(rows, root, strict=True) if r == g) for g in set(root)}
+    assert 40 < len(want) < len(rows) - 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (8, 1):
+        monkeypatch.setattr(near_copies, "LEAST", least)
+        kept = near_copies.drop_near_copies(docs)
+        assert kept.columns == docs.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(want)
+    assert near_copies.drop_near_copies(empty).count() == 0
+
+
+def test_pipeline_drops_near_copies_of_many_bits(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(20):
+        w = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.no_near_copies(spark, docs, "").collect()) == list(range(0, 40, 2))
+
+
 def test_suffix_dedup_against_brute_force(spark):
     rng = random.Random(2)
     line = "a line that many of the documents have, over and over, é. "

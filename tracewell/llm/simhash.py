@@ -217,7 +217,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, the one with the smallest id (null ids last; of one id the smallest hash of the text); all columns stay."""
-    rows = simhash_groups(docs, id_col, text_col)
+    return keep_first(docs, simhash_groups(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each group of rows(doc_id, text_hash, group)."""
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("text_hash").alias("key"))
     copies = rows.groupBy("group", first.alias("first")).agg(F.count("*").alias("n"))
     keepers = copies.groupBy("group").agg(F.min(F.struct("first", "n")).alias("m")).select("m.first.doc_id", "m.first.key", "m.n")
