@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from tracewell.operators import rows as R
 from tracewell.operators import tables as TB
 from tracewell.operators import verify as C
-from tracewell.operators.match import find_value
+from tracewell.operators.match import find_value, gram_candidates
 from tracewell.operators.resolve import resolve_shared
+from tracewell.plans import catalogue
 from tracewell.plans import specs as S
 from tracewell.plans.ground import ground
 from tracewell.sources import layout as L
@@ -62,6 +63,21 @@ def test_shared_boxes_are_parted(spark):
     assert r[1].y0 == 0.5 and r[1].status == "low_confidence" and r[0].status == "verified"
 
 
+def test_gram_candidates_against_brute_force(spark):
+    items, rows = [(1, "Anna Long"), (2, "ab"), (3, None), (4, "Summe 12,50"), (5, "!!")], [(1, 0, "ANNA"), (1, 1, "x"), (2, 0, "sum 1250"), (2, 3, "")]
+    canonical = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
+    own = lambda t: {canonical(t)[k : k + 3] for k in range(len(canonical(t)) - 2)}
+    want = [(i, d, r, len(own(a) & own(b))) for i, a in items for d, r, b in rows if not own(a) or own(a) & own(b)]
+    got = gram_candidates(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, row_ord int, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 12
+
+
+def test_gram_prefilter_all_reads_every_item(spark, tmp_path):
+    spark.createDataFrame([(1, "Anna Long"), (20, "zzz"), (3, "?")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(7, "for Anna\nnone")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(tuple(r) for r in catalogue.gram_prefilter_all(spark, str(tmp_path)).collect()) == [(1, 7, 0, 2), (3, 7, 0, 0), (3, 7, 1, 0)]
+
+
 def test_relations_and_checks(spark):
     r = spark.createDataFrame([(1, "subtotal", "100", "100"), (1, "vat_amount", "21", "21"), (1, "total", "121", "121")], "doc_id long, name string, value string, evidence string")
     rel = spark.createDataFrame([("total", "sum", ["subtotal", "vat_amount"]), ("vat_amount", "percent_of", ["subtotal", "vat_rate"])], "target string, kind string, operands array<string>")

@@ -297,12 +297,19 @@ def shared_box_pairs(spark, sf_dir):
 
 @query(f"WITH {LINES_SQL}, b AS (SELECT DISTINCT item_id, substr(c, i, 3) AS g FROM (SELECT item_id, {CANON.format('text')} AS c FROM benchmark), unnest(range(1, length(c) - 1)) AS u(i) WHERE item_id % 20 = 0), r AS (SELECT DISTINCT doc_id, line_no, substr(c, i, 3) AS g FROM (SELECT doc_id, line_no, {CANON.format('text')} AS c FROM lines), unnest(range(1, length(c) - 1)) AS u(i)), s AS (SELECT item_id, doc_id, line_no, count(*) AS shared FROM b JOIN r USING (g) GROUP BY ALL) SELECT item_id, doc_id, line_no::BIGINT AS row_ord, shared FROM s WHERE shared >= 60")
 def gram_prefilter(spark, sf_dir):
-    """Items with ids divisible by 20 are the stated query set; the rows are all lines."""
+    """A part of gram_prefilter_all that SQL can check: items with ids divisible by 20, and 60 shared grams; the rows are all lines."""
     items = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
     rows = L.lines_of(table(spark, sf_dir, "documents")).withColumnRenamed("line_no", "row_ord")
     return M.gram_candidates(items, rows, 60).select("item_id", "doc_id", F.col("row_ord").cast("long").alias("row_ord"), "shared")
 
 
+@query()
+def gram_prefilter_all(spark, sf_dir):
+    """All items and all lines that share a gram; items without one go with every line."""
+    rows = L.lines_of(table(spark, sf_dir, "documents")).withColumnRenamed("line_no", "row_ord")
+    return M.gram_candidates(table(spark, sf_dir, "benchmark"), rows).select("item_id", "doc_id", F.col("row_ord").cast("long").alias("row_ord"), "shared")
+
+
 @query(f"SELECT c.conv_id, c.turn, coalesce({CANON.format('c.text')} <> '' AND contains({CANON.format('d.text')}, {CANON.format('c.text')}), false) AS found FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id")
 def quote_semijoin(spark, sf_dir):
     """Turns as quotes of the document with the conversation's number."""
