@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from tracewell.operators import rows as R
 from tracewell.operators import tables as TB
 from tracewell.operators import verify as C
 from tracewell.operators.match import find_value, gram_candidates
-from tracewell.operators.resolve import resolve_shared
+from tracewell.operators.resolve import resolve_shared, shared_boxes
 from tracewell.plans import catalogue
 from tracewell.plans import specs as S
 from tracewell.plans.ground import ground
@@ -63,6 +65,24 @@ def test_shared_boxes_are_parted(spark):
     assert r[1].y0 == 0.5 and r[1].status == "low_confidence" and r[0].status == "verified"
 
 
+def test_shared_boxes_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    boxes = [(0.10, 0.1, 0.90, 0.12), (0.18, 0.1, 0.90, 0.12), (0.2, 0.05, 0.22, 0.95), (0.2, 0.12, 0.22, 0.95), (0.3, 0.3, 0.3, 0.4)]
+    for _ in range(25):
+        x, y, w, h = rng.random(), rng.random(), rng.choice([0.01, 0.3, 0.9]) * rng.random(), rng.choice([0.01, 0.3, 0.9]) * rng.random()
+        boxes += [(x + rng.uniform(-0.1, 0.1) * w, y + rng.uniform(-0.1, 0.1) * h, x + w * rng.uniform(0.92, 1), y + h * rng.uniform(0.92, 1)) for _ in range(3)]
+
+    def over(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        return 0 if w <= 0 or h <= 0 else w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+
+    want = [(i, j) for i in range(len(boxes)) for j in range(i + 1, len(boxes)) if over(boxes[i], boxes[j]) >= 0.85]
+    assert {(0, 1), (2, 3)} < set(want)
+    f = spark.createDataFrame([(1, k, "v", 0, *b) for k, b in enumerate(boxes)], "doc_id long, field_ord int, value string, page int, x0 double, y0 double, x1 double, y1 double")
+    got = shared_boxes(f.withColumn("bbox", F.struct("x0", "y0", "x1", "y1")))
+    assert sorted((r.a, r.b) for r in got.collect()) == want
+
+
 def test_gram_candidates_against_brute_force(spark):
     items, rows = [(1, "Anna Long"), (2, "ab"), (3, None), (4, "Summe 12,50"), (5, "!!")], [(1, 0, "ANNA"), (1, 1, "x"), (2, 0, "sum 1250"), (2, 3, "")]
     canonical = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
