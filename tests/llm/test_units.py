@@ -38,6 +38,19 @@ def test_repair_round_trip_and_random_access():
     assert len(symbols) < len(ids)
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 50_000, 1000)
+    many = np.concatenate([np.tile(rng.integers(0, 50_000, 2 * 40_000), 8), np.full(100, 7)])
+    docs = [np.append(x, 2) for x in [passage] * 16 + [many]]
+    ids, sizes = np.concatenate(docs).astype("<u4"), np.array(list(map(len, docs)))
+    symbols, rules, own = repair.compress(ids, sizes, 50_000)
+    assert (repair.expand(symbols, rules, 50_000) == ids).all() and len(np.unique(rules, axis=0)) == len(rules)
+    assert own[:16].max() <= 2
+    pairs = np.delete(np.stack([symbols[:-1], symbols[1:]], 1), np.cumsum(own)[:-1] - 1, axis=0)
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < repair.LEAST_COUNT
+
+
 def fewest(sizes, capacity):
     best = [len(sizes)]
 

@@ -17,7 +17,7 @@ from .tokens import batches, encoder
 END_ID = 2
 #: Ids of a shard, at least; a shard ends with a document.
 SHARD_IDS = 1_000_000
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 8192, 8
+RULES_A_ROUND, LEAST_COUNT = 8192, 8
 _BITS = 18
 #: Places of shards beyond so many are joined by a shuffle.
 BROADCAST_SHARDS = 1_000_000
@@ -27,42 +27,43 @@ OUT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def compress(ids: np.ndarray, doc_sizes: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, doc_symbols): Re-Pair in rounds. Each round counts all pairs of neighbours and replaces the frequent ones by new nonterminals.
+    """(symbols, rules, doc_symbols): Re-Pair in rounds. Each round counts all pairs of neighbours and replaces the frequent ones by new nonterminals, until no pair occurs LEAST_COUNT times.
 
     Where chosen pairs overlap, every second of a run is taken from its left. No pair reaches over a document's end,
     so a document is a slice of the symbols. Rules of a round stand for symbols of earlier rounds only.
     """
     symbols, rules, sizes = ids.astype(np.int64), [], doc_sizes.astype(np.int64)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    known: dict[int, int] = {}
+    while len(symbols) > 1:
         pairs = symbols[:-1] << 32 | symbols[1:]
         slot = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
         slot[np.cumsum(sizes)[:-1] - 1] = 1 << _BITS  # no pair over a document's end
         counts = np.bincount(slot, minlength=(1 << _BITS) + 1)
         counts[-1] = 0
-        # a pair is no more frequent than its slot; of the pairs in a frequent slot one stands for it, and is counted alone
-        bar = max(LEAST_COUNT, int(np.partition(counts, -RULES_A_ROUND)[-RULES_A_ROUND]))
-        at = np.flatnonzero((counts >= bar)[slot])
-        near, found = slot[at], pairs[at]
-        stands = np.zeros((1 << _BITS) + 1, np.int64)
-        stands[near] = found
-        own = stands[near] == found
-        at, near = at[own], near[own]
-        n = np.bincount(near, minlength=1 << _BITS)
+        # a pair is no more frequent than its slot; those in frequent slots are counted themselves
+        at = np.flatnonzero((counts >= LEAST_COUNT)[slot])
+        ordered = np.sort(pairs[at])
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), ordered[1:] != ordered[:-1]]))
+        n = np.diff(starts, append=len(ordered))
         order = np.flatnonzero(n >= LEAST_COUNT)
-        order = order[np.argsort(-n[order], kind="stable")[:RULES_A_ROUND]]
         if not len(order):
             break
-        number = np.full(len(n), -1, np.int64)
-        number[order] = first_rule + len(rules) + np.arange(len(order))
-        named = number[near]
-        at, named = at[named >= 0], named[named >= 0]
+        chosen = np.sort(ordered[starts[order[np.argsort(-n[order], kind="stable")[:RULES_A_ROUND]]]])
+        place = np.searchsorted(chosen, pairs[at])
+        own = chosen[np.minimum(place, len(chosen) - 1)] == pairs[at]
+        at, place = at[own], place[own]
         starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         run = np.repeat(starts, np.diff(starts, append=len(at)))
         take = (np.arange(len(at)) - run) % 2 == 0
-        at, named = at[take], named[take]
-        rules.extend(zip((stands[order] >> 32).tolist(), (stands[order] & 0xFFFFFFFF).tolist(), strict=True))
+        at, place = at[take], place[take]
+        number = np.zeros(len(chosen), np.int64)
+        for k in np.unique(place).tolist():  # overlaps may have left a pair for a later round
+            pair = int(chosen[k])
+            if pair not in known:
+                known[pair] = first_rule + len(rules)
+                rules.append((pair >> 32, pair & 0xFFFFFFFF))
+            number[k] = known[pair]
+        named = number[place]
         symbols[at] = named
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
