@@ -98,6 +98,12 @@ def test_gram_prefilter_all_reads_every_item(spark, tmp_path):
     assert sorted(tuple(r) for r in catalogue.gram_prefilter_all(spark, str(tmp_path)).collect()) == [(1, 7, 0, 2), (3, 7, 0, 0), (3, 7, 1, 0)]
 
 
+def test_header_bands_read_all_labels(spark):
+    rows = spark.createDataFrame([(1, 0, 0, "part part", 0.0), (1, 0, 1, "qty  amount", 12.0)], "doc_id long, page int, row_ord int, text string, top double")
+    labels = spark.createDataFrame([(t,) for t in ["part"] * 1500 + [f"none{k}" for k in range(1500)] + ["Qty", "Amount"]], "label string").coalesce(1)
+    assert [(r.row_ord, r.n_labels) for r in TB.header_bands(rows, labels).collect()] == [(1, 2)]
+
+
 def test_relations_and_checks(spark):
     r = spark.createDataFrame([(1, "subtotal", "100", "100"), (1, "vat_amount", "21", "21"), (1, "total", "121", "121")], "doc_id long, name string, value string, evidence string")
     rel = spark.createDataFrame([("total", "sum", ["subtotal", "vat_amount"]), ("vat_amount", "percent_of", ["subtotal", "vat_rate"])], "target string, kind string, operands array<string>")

@@ -12,8 +12,8 @@ from .grouped import by_group
 
 
 def header_bands(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The header of each page: doc_id, page, row_ord, n_labels; the row with the most labels (two at least), of equals the topmost."""
-    hits = rows.crossJoin(F.broadcast(labels.limit(1000).select(F.collect_list(canon(F.col("label"))).alias("labels"))))
+    """The header of each page: doc_id, page, row_ord, n_labels; the row with the most distinct labels (two at least), of equals the topmost."""
+    hits = rows.crossJoin(F.broadcast(labels.select(F.collect_set(canon(F.col("label"))).alias("labels"))))
     n = let(canon(F.col("text")), lambda hay: F.size(F.filter("labels", lambda a: (a != "") & F.contains(hay, a))))
     best = hits.withColumn("n_labels", n).where("n_labels >= 2").groupBy("doc_id", "page").agg(F.max(F.struct("n_labels", (-F.col("top")).alias("up"), (-F.col("row_ord")).alias("ord"))).alias("b"))
     return best.select("doc_id", "page", (-F.col("b.ord")).alias("row_ord"), "b.n_labels")
