@@ -104,6 +104,13 @@ def test_header_bands_read_all_labels(spark):
     assert [(r.row_ord, r.n_labels) for r in TB.header_bands(rows, labels).collect()] == [(1, 2)]
 
 
+def test_many_items_are_searched_in_blocks(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, f"item number {k % 8} x") for k in range(9)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(d, f"an item\nnumber {d} x") for d in range(8)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalogue, "ITEMS_AT_ONCE", 2)
+    assert sorted(tuple(r) for r in catalogue.found_passages(spark, str(tmp_path)).collect()) == sorted((k, k % 8, 0, 2) for k in range(9))
+
+
 def test_relations_and_checks(spark):
     r = spark.createDataFrame([(1, "subtotal", "100", "100"), (1, "vat_amount", "21", "21"), (1, "total", "121", "121")], "doc_id long, name string, value string, evidence string")
     rel = spark.createDataFrame([("total", "sum", ["subtotal", "vat_amount"]), ("vat_amount", "percent_of", ["subtotal", "vat_rate"])], "target string, kind string, operands array<string>")

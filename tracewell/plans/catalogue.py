@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -89,20 +90,30 @@ def merged_rows(spark, sf_dir):
     return out.select("doc_id", F.col("first_row").cast("long").alias("first_row"), F.col("n_rows").cast("long").alias("n_rows"), F.md5("text").alias("text_md5"))
 
 
+#: Items of an automaton.
+ITEMS_AT_ONCE = 200_000
+
+
 def found_passages(spark, sf_dir) -> DataFrame:
     """(item_id, doc_id, line_no, n_lines): benchmark items in documents by canonical containment in one to three lines, the first place with the fewest lines.
 
-    All items are one automaton that reads each document once; the items go to every executor while they are few.
+    About ITEMS_AT_ONCE items are one automaton that reads each document once and goes to every executor; more items are
+    searched in as many blocks.
     """
-    import ahocorasick
-
     items = table(spark, sf_dir, "benchmark").select("item_id", T.canon(F.col("text")).alias("needle")).where("needle <> ''")
-    if items.limit(200_001).count() > 200_000:
-        raise ValueError("too many items for one automaton; search them in parts")
-    own = [(r.item_id, r.needle) for r in items.collect()]
+    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
     lines = L.lines_of(table(spark, sf_dir, "documents")).select("doc_id", "line_no", T.canon(F.col("text")).alias("c"))
     docs = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "c"))), lambda x: x["c"]).alias("lines"))
 
+    found = [search_block(docs, items.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == k)) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def search_block(docs: DataFrame, items: DataFrame) -> DataFrame:
+    import ahocorasick
+
+    own = [(r.item_id, r.needle) for r in items.collect()]
+
     def search(it):
         auto: dict[str, list[int]] = {}
         for i, needle in own:
