@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -20,8 +21,12 @@ def test_cached_encoding_is_whole_encoding(encoder):
     random.seed(3)
     texts = ["", " ", "a  b", "x\n \ny", "a\n\nb c", "it's <|endoftext|> x.", "don't.\n\nYou", "é.É|x)|y", "a\0b \0"]
     texts += ["".join(random.choices("ab \n\t.,'|é1", k=random.randint(0, 14))) for _ in range(1500)]
-    for _ in range(2):
-        assert encoder.encode_many(texts) == [encoder._whole(t).tobytes() for t in texts]
+    texts += ["".join(random.choices(["foo", "Bar", "é", " ", " ", "\n", "\n\n", "\t", ".", "12", "'s", "<|endoftext|>", ")", "中", "\x1c", "\u2003"], k=random.randint(0, 12))) for _ in range(1500)]
+    for some in (texts, texts[::-1], texts[7:9], []):
+        ids, ends = encoder.encode(pa.array(some, pa.string()))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(some)] == [encoder._whole(t).tolist() for t in some]
+    ids, ends = encoder.encode(pa.array([None, "a", ""]), 7)
+    assert ids.tolist() == [7, *encoder._whole("a").tolist(), 7, 7] and ends.tolist() == [1, 3, 4]
 
 
 def test_repair_round_trip_and_random_access():

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, hold, parts, table
-from .tokens import batches, encoder
+from .tokens import encoder, slices
 
 CAPACITY, END_ID = 2048, 0
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -24,18 +24,21 @@ Pattern = tuple[dict[int, int], int]
 
 def _pieces(it: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     hold("tokens", encoder.cache_clear)
-    enc, end = encoder(path), np.array([END_ID], "<u4").tobytes()
+    enc = encoder(path)
     for batch in it:
         own = batch.column("doc_id").to_pylist()
-        for k, texts in batches(batch):
+        for k, texts in slices(batch):
             rows: list[tuple] = []
-            for key, x in zip(own[k:], enc.encode_many(texts), strict=False):
-                x += end
-                n, start, piece = len(x) // 4, 0, 0
+            ids, ends = enc.encode(texts, END_ID)
+            data, first = memoryview(ids.tobytes()), 0
+            for key, last in zip(own[k:], ends.tolist(), strict=False):
+                n, start, piece = last - first, 0, 0
                 size = n % capacity or min(n, capacity)
                 while start < n:
-                    rows.append((key, piece, start, size, zlib.crc32(x[4 * start : 4 * (start + size)])))
+                    at = first + start
+                    rows.append((key, piece, start, size, zlib.crc32(data[4 * at : 4 * (at + size)])))
                     start, piece, size = start + size, piece + 1, capacity
+                first = last
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 

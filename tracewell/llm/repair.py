@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hold, parts, scratch, table
-from .tokens import batches, encoder
+from .tokens import encoder, slices
 
 END_ID = 2
 #: Ids of a shard, at least; a shard ends with a document.
 SHARD_IDS = 1_000_000
-RULES_A_ROUND, LEAST_COUNT = 8192, 8
-_BITS = 18
+RULES_A_ROUND, LEAST_COUNT = 16384, 8
+_BITS = 19
 #: Places of shards beyond so many are joined by a shuffle.
 BROADCAST_SHARDS = 1_000_000
 
@@ -26,6 +26,10 @@ FILE_SCHEMA = "part int, shard int, n_docs int, n_ids long, doc_ids binary, no_i
 OUT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, doc_sizes: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, doc_symbols): Re-Pair in rounds. Each round counts all pairs of neighbours and replaces the frequent ones by new nonterminals, until no pair occurs LEAST_COUNT times.
 
@@ -36,7 +40,7 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray, first_rule: int) -> tuple[n
     known: dict[int, int] = {}
     while len(symbols) > 1:
         pairs = symbols[:-1] << 32 | symbols[1:]
-        slot = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+        slot = _slot(pairs)
         slot[np.cumsum(sizes)[:-1] - 1] = 1 << _BITS  # no pair over a document's end
         counts = np.bincount(slot, minlength=(1 << _BITS) + 1)
         counts[-1] = 0
@@ -48,9 +52,12 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray, first_rule: int) -> tuple[n
         order = np.flatnonzero(n >= LEAST_COUNT)
         if not len(order):
             break
-        chosen = np.sort(ordered[starts[order[np.argsort(-n[order], kind="stable")[:RULES_A_ROUND]]]])
-        place = np.searchsorted(chosen, pairs[at])
-        own = chosen[np.minimum(place, len(chosen) - 1)] == pairs[at]
+        chosen = ordered[starts[order[np.argsort(-n[order], kind="stable")[:RULES_A_ROUND]]]]
+        # of chosen pairs in one slot the most frequent is replaced now, the others in a later round
+        by_slot = np.zeros((1 << _BITS) + 1, np.int64)
+        by_slot[_slot(chosen[::-1])] = np.arange(len(chosen))[::-1]
+        place = by_slot[slot[at]]
+        own = chosen[place] == pairs[at]
         at, place = at[own], place[own]
         starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         run = np.repeat(starts, np.diff(starts, append=len(at)))
@@ -106,29 +113,34 @@ def _shards(it: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]
     hold("tokens", encoder.cache_clear)
     enc, part, shard = encoder(path), TaskContext.get().partitionId(), 0
     keys: list[int | None] = []
-    ids: list[bytes] = []
+    ids: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
     held = 0
 
     def close() -> pa.RecordBatch:
-        sizes = np.array([len(x) // 4 for x in ids])
         first_rule = max(enc.vocab_size, END_ID + 1)
-        symbols, rules, doc_symbols = compress(np.frombuffer(b"".join(ids), "<u4"), sizes, first_rule)
+        symbols, rules, doc_symbols = compress(np.concatenate(ids), np.concatenate(sizes), first_rule)
         row = {
-            "part": part, "shard": shard, "n_docs": len(keys), "n_ids": int(sizes.sum()), "doc_ids": np.array([k or 0 for k in keys], "<i8").tobytes(), "no_id": np.array([k is None for k in keys], "u1").tobytes(),
+            "part": part, "shard": shard, "n_docs": len(keys), "n_ids": held, "doc_ids": np.array([k or 0 for k in keys], "<i8").tobytes(), "no_id": np.array([k is None for k in keys], "u1").tobytes(),
             "doc_symbols": doc_symbols.tobytes(), "first_rule": first_rule, "rules": rules.tobytes(), "rule_lengths": rule_lengths(rules, first_rule).tobytes(), "symbols": symbols.tobytes(),
         }
-        keys.clear(), ids.clear()
+        keys.clear(), ids.clear(), sizes.clear()
         kinds = {"part": pa.int32(), "shard": pa.int32(), "n_docs": pa.int32(), "n_ids": pa.int64(), "first_rule": pa.int64()}
         return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()], list(row))
 
-    end = np.array([END_ID], "<u4").tobytes()
     for batch in it:
         own = batch.column("doc_id").to_pylist()
-        for k, texts in batches(batch):
-            for key, x in zip(own[k:], enc.encode_many(texts), strict=False):
-                keys.append(key)
-                ids.append(x + end)
-                held += len(x) // 4 + 1
+        for k, texts in slices(batch):
+            data, ends = enc.encode(texts, END_ID)
+            first = 0  # document of the slice
+            while first < len(ends):
+                before = ends[first - 1] if first else 0
+                last = min(len(ends), int(np.searchsorted(ends, before + SHARD_IDS - held)) + 1)
+                keys += own[k + first : k + last]
+                ids.append(data[before : ends[last - 1]])
+                sizes.append(np.diff(ends[first:last], prepend=before))
+                held += int(ends[last - 1] - before)
+                first = last
                 if held >= SHARD_IDS:
                     yield close()
                     shard, held = shard + 1, 0
