@@ -155,7 +155,8 @@ def test_pipeline_drops_near_copies_of_many_bits(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.no_near_copies(spark, docs, "").collect()) == list(range(0, 40, 2))
 
 
-def test_suffix_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("settings", [{}, {"block_bytes": 900}, {"block_bytes": 900, "hot": 2}])
+def test_suffix_dedup_against_brute_force(spark, settings):
     rng = random.Random(2)
     line = "a line that many of the documents have, over and over, é. "
     texts = []
@@ -163,7 +164,9 @@ def test_suffix_dedup_against_brute_force(spark):
         body = "".join(rng.choices("abcd ", k=rng.randint(0, 200)))
         texts.append((k, (body + line + body[:60] + texts[k // 2][1][:90]) if k > 2 else body))
     texts += [(3, texts[5][1]), (40, None), (None, texts[6][1]), (41, texts[6][1])]
-    r = suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    texts += [(42 + k, line + "".join(rng.choices("abcd ", k=30))) for k in range(9)] + [(60, "long " * 30_000), (61, "g " * 40_000)]
+    docs = spark.createDataFrame([(i, t, "c", 0) for i, t in texts], "doc_id long, text string, block string, bucket int").repartition(3, "text")
+    r = suffix_dedup.remove_repeats(docs, **settings).collect()
     number = lambda i: 1 << 62 if i is None else i
     want = []
     for i, t in texts:
@@ -178,6 +181,12 @@ def test_suffix_dedup_against_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_suffix_dedup_of_nothing(spark, empty):
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+    short = spark.createDataFrame([(1, "a"), (2, "a"), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(short).collect()) == [(1, 1, 0, b"a"), (2, 0, 0, b""), (2, 1, 0, b"a")]
+
+
 def test_decontaminate(spark, docs, empty):
     words = " ".join(f"w{k}" for k in range(14))
     items = spark.createDataFrame([(1, words), (10, "Short Item"), (2, None), (3, "!!")], "item_id long, text string")

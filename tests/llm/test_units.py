@@ -111,6 +111,24 @@ def test_suffix_array_is_sorted_suffixes():
         assert suffix_dedup.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_arrays_alongside_and_least_numbers(monkeypatch):
+    rng = np.random.default_rng(6)
+    strings = [np.append(rng.integers(1, rng.choice([2, 3, 9]), rng.integers(0, 60)), 0) for _ in range(500)]
+    starts = np.cumsum([0, *map(len, strings)])[:-1]
+    got = suffix_dedup.suffix_arrays(np.concatenate(strings), starts)
+    for s, a in zip(strings, starts.tolist(), strict=True):
+        assert (got[a : a + len(s)] - a).tolist() == suffix_dedup.suffix_array(s.tolist())
+    for alongside in (1, 10_000):
+        monkeypatch.setattr(suffix_dedup, "ALONGSIDE", alongside)
+        groups = [[bytes(rng.integers(97, 100, rng.integers(4, 30)).tolist()) for _ in range(rng.integers(1, 6))] for _ in range(200)]
+        flat = [x for g in groups for x in g]
+        numbers = rng.permutation(len(flat))
+        of = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+        least = suffix_dedup.window_minima(np.frombuffer(b"".join(flat), "u1"), np.cumsum([len(x) for x in flat]), numbers, of, 4).tolist()
+        want = [min(n for y, n, h in zip(flat, numbers.tolist(), of.tolist(), strict=True) if h == g and x[i : i + 4] in y) for x, g in zip(flat, of.tolist(), strict=True) for i in range(len(x) - 3)]
+        assert least == want
+
+
 def test_trie_counts_are_the_best_segmentation():
     pieces = {"a": -2.0, "b": -2.5, "ab": -3.0, "abb": -3.2, "▁": -1.0, "▁a": -2.1, "ba": -3.9}
     trie = token_counts._Started(pieces)

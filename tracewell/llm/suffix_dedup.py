@@ -5,18 +5,23 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, scratch, table
+from .common import cut, scratch, table
 
 LENGTH, ANCHOR = 50, 20
-#: Bytes of text that a step of numpy works on.
-STEP = 2_000_000
+#: Bytes of text that a step of numpy works on, and of a block of documents, about.
+STEP, BLOCK_BYTES = 2_000_000, 16_000_000
+#: An anchor in more documents than this is hot: its strings are dealt each by its own hash.
+HOT = 2000
+#: Symbols that are sorted together; strings of which fewer than ALONGSIDE are alike long, or of more than LONG symbols, are sorted one by one.
+SORTED, ALONGSIDE, LONG = 300_000, 64, 20_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -109,53 +114,159 @@ def suffix_array(s: list[int]) -> list[int]:
     return out
 
 
-def window_minima(strings: list[tuple[bytes, int]], length: int = LENGTH) -> list[list[int]]:
-    """For each (bytes, number) and each place where a string of `length` bytes starts: the least number of the strings that hold the same.
+def suffix_arrays(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """suffix_array() of many strings that stand one behind the other, step by step alongside each other; places count in s.
 
-    Equal ones lie side by side in the suffix array of all strings together.
+    The groups of a string lie in `perm` from the lowest up, so that the next to be taken ends where the last began,
+    and suffixes that leave a group go to its end. group holds where a suffix's group begins, end where a group that
+    begins there ends. The place after the last, `none`, stands for no suffix.
     """
-    joined: list[int] = []
-    owner: list[int] = []
-    starts = []
-    for k, (b, _) in enumerate(strings):
-        starts.append(len(joined))
-        joined += [c + 2 for c in b]
-        joined.append(1)
-        owner += [k] * (len(b) - length + 1) + [-1] * length
-    joined.append(0)
-    owner.append(-1)
-    out = [[number] * (len(b) - length + 1) for b, number in strings]
-    data, run, least, last = b"\0".join(b for b, _ in strings), [], LAST, b""
-    for i in [*suffix_array(joined), -1]:
-        k = owner[i] if i >= 0 else -2
-        if k == -1:
-            continue
-        here = data[i : i + length] if i >= 0 else None
-        if here != last:
-            for j in run:
-                out[owner[j]][j - starts[owner[j]]] = least
-            run, least, last = [], LAST, here
-        if i >= 0:
-            run.append(i)
-            least = min(least, strings[k][1])
+    n, none = len(s), len(s)
+    own = np.repeat(np.arange(len(starts)), np.diff(starts, append=n))
+    key = own * (int(s.max(initial=0)) + 1) + s
+    perm = np.argsort(key, kind="stable")
+    key = key[perm]
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    end = np.zeros(n + 1, np.int64)
+    end[begins] = np.append(begins[1:], n)
+    group, place = np.empty(n + 1, np.int64), np.empty(n, np.int64)
+    group[perm] = np.repeat(begins, np.diff(begins, append=n))
+    place[perm] = np.arange(n)
+    before = np.arange(-1, n)
+    before[starts] = none
+    prev, done, moving = before.copy(), np.zeros(n + 1, bool), np.zeros(n, bool)
+    at, first = np.append(starts[1:], n), starts
+    while len(at):
+        low = group[perm[at - 1]]
+        size = at - low
+        upto = np.cumsum(size)
+        i = perm[np.repeat(at - upto, size) + np.arange(upto[-1])]
+        done[i] = True
+        j = before[i]
+        while (on := np.flatnonzero(done[j])).size:
+            j[on] = prev[j[on]]
+            prev[i] = j
+        prev[i] = j
+        j = np.sort(j[j != none])
+        if len(j):
+            new = np.concatenate([[True], j[1:] != j[:-1]])
+            copies = np.diff(np.flatnonzero(new), append=len(j))
+            j = j[new]
+            h = group[j]
+            order = np.lexsort((copies, h))
+            j, copies, h = j[order], copies[order], h[order]
+            lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            m = np.diff(lead, append=len(h))
+            base = end[h[lead]] - m
+            slot = np.repeat(base - lead, m) + np.arange(len(j))
+            moving[j] = True
+            there = perm[slot]
+            there = there[~moving[there]]
+            left = place[j]
+            left = left[left < np.repeat(base, m)]
+            perm[left], place[there] = there, left
+            perm[slot], place[j] = j, slot
+            moving[j] = False
+            rest = base > h[lead]
+            end[h[lead][rest]] = base[rest]
+            lead = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (copies[1:] != copies[:-1])]))
+            size = np.diff(lead, append=len(j))
+            group[j] = np.repeat(slot[lead], size)
+            end[slot[lead]] = slot[lead] + size
+        more = low > first
+        at, first = low[more], first[more]
+    out, placed, to = np.empty(n, np.int64), np.zeros(n + 1, bool), np.arange(n + 1)
+    placed[none] = True
+    out[starts] = np.append(starts[1:], n) - 1
+    k, stop = starts, np.append(starts[1:], n)
+    while len(k):
+        i = before[out[k]]
+        while (i := i[~placed[i]]).size:
+            g = group[i]
+            out[to[g]] = i
+            to[g] += 1
+            placed[i] = True
+            i = prev[i]
+        k = k + 1
+        more = k < stop
+        if not more.all():
+            k, stop = k[more], stop[more]
     return out
 
 
-def anchors(buf: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last): runs of string starts that have their anchor in common, in documents that stand one behind the other.
-
-    The anchor of a string of `length` bytes is its k-gram of least hash, the leftmost of equals; equal strings have
-    equal anchors at one place in them. hash has 40 bits, and collisions only add candidates.
+def _sorted_suffixes(s: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """Suffix arrays, as places in s, of the strings that begin at starts; in any order of the strings."""
+    sizes = np.diff(starts, append=len(s))
+    order = np.argsort(sizes, kind="stable")
+    k = 0
+    while k < len(order):
+        first = int(sizes[order[k]])
+        some = order[k : k + max(1, SORTED // first)]
+        some = some[sizes[some] <= 1.5 * first]
+        total = np.cumsum(sizes[some])
+        some = some[: max(1, int(np.searchsorted(total, SORTED, "right")))]
+        k += len(some)
+        if len(some) < ALONGSIDE or first > LONG:
+            for x in some.tolist():
+                a, b = int(starts[x]), int(starts[x] + sizes[x])
+                yield np.array(suffix_array(s[a:b].tolist()), np.int64) + a
+        else:
+            own = sizes[some]
+            to = np.cumsum(own) - own
+            at = np.repeat(starts[some] - to, own) + np.arange(int(own.sum()))
+            yield at[suffix_arrays(s[at], to)]
+
+
+def window_minima(data: np.ndarray, ends: np.ndarray, numbers: np.ndarray, groups: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each place of each string where a string of `length` bytes starts: the least number of the strings of its group that hold the same.
+
+    The strings stand one behind the other in data, those of a group together. A group's strings are joined, each
+    closed by a mark, and sorted; equal strings lie side by side in the suffix array.
     """
-    n, none = len(buf), np.zeros(0, np.int64)
-    if n < length:
-        return none.astype(np.uint64), none, none
-    base, h = np.uint64(0x9E3779B97F4A7C15), None
+    sizes = np.diff(ends, prepend=0)
+    n_windows = sizes - length + 1
+    out = np.repeat(numbers, n_windows)
+    lead = np.concatenate([[True], groups[1:] != groups[:-1]])
+    several = ~(lead & np.append(lead[1:], True))  # a string alone in its group meets no other
+    if not several.any():
+        return out
+    own = np.flatnonzero(several)
+    closes = np.append(lead[1:], True)[own]  # a group's last string is closed by the least symbol too
+    took = sizes[own] + 1 + closes
+    to = np.cumsum(took) - took
+    s = np.zeros(int(took.sum()), np.int64)
+    s[to + sizes[own]] = 1
+    within = np.arange(int(sizes[own].sum())) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+    s[np.repeat(to, sizes[own]) + within] = data[np.repeat(ends[own] - sizes[own], sizes[own]) + within].astype(np.int64) + 2
+    # the window that starts at a symbol, and the string's number there
+    window = np.full(len(s), -1, np.int64)
+    n = n_windows[own]
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(to, n) + within
+    window[at] = np.repeat((np.cumsum(n_windows) - n_windows)[own], n) + within
+    words = [s[k : len(s) - length + 1 + k] for k in range(length)] if len(s) >= length else []
+    for suffixes in _sorted_suffixes(s, to[lead[own]]):
+        here = suffixes[window[suffixes] >= 0]
+        new = np.ones(len(here), bool)
+        same = np.arange(1, len(here))
+        for w in words:  # few neighbours stay equal for long
+            same = same[w[here[same]] == w[here[same - 1]]]
+            if not len(same):
+                break
+        new[same] = False
+        runs = np.flatnonzero(new)
+        w = window[here]
+        out[w] = np.repeat(np.minimum.reduceat(out[w], runs), np.diff(runs, append=len(w)))
+    return out
+
+
+def _gram_hash(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-grams of bytes: hashes of widths 1, 2, 4, ... are joined to that of k."""
+    n, base, h = len(buf), np.uint64(0x9E3779B97F4A7C15), None
     x = (buf.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
-    power, width, at = base, 1, 0
-    rest = k
-    while rest:  # hashes of widths 1, 2, 4, ... are joined to that of k
+    power, width, at, rest = base, 1, 0, k
+    while rest:
         if rest & 1:
             h = x[: n - k + 1] if h is None else h * power + x[at : at + n - k + 1]
             at += width
@@ -163,9 +274,22 @@ def anchors(buf: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = AN
         if rest:
             x = x[: len(x) - width] * power + x[width:]
             power, width = np.multiply([power], [power])[0], 2 * width
-    h ^= h >> np.uint64(31)
+    h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
+    return h
+
+
+def anchors(buf: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last): runs of string starts that have their anchor in common, in documents that stand one behind the other.
+
+    The anchor of a string of `length` bytes is its k-gram of least hash, the leftmost of equals; equal strings have
+    equal anchors at one place in them. hash has 40 bits, and collisions only add candidates.
+    """
+    n, none = len(buf), np.zeros(0, np.int64)
+    if n < length:
+        return none.astype(np.uint64), none, none
+    h = _gram_hash(buf, k)
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     least, width, span = key, 1, length - k + 1
     while 2 * width <= span:
@@ -183,19 +307,34 @@ def anchors(buf: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = AN
     close = np.ones(len(inside), bool)
     close[:-1] = new[1:] | ~inside[1:]
     last = np.flatnonzero(close & inside)
-    return h[anchor[first]] >> np.uint64(24), first, last
-
-
-def _slices(t: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(first row, texts one behind the other, their ends), about STEP bytes at a time."""
-    texts, k = t.column("text").combine_chunks(), 0
-    while k < len(texts):
-        some, size = [], 0
-        while k + len(some) < len(texts) and size < STEP:
-            some.append(texts[k + len(some)].as_py().encode())
-            size += len(some[-1])
-        yield k, b"".join(some), np.cumsum([len(x) for x in some])
-        k += len(some)
+    return (h[anchor[first]] * np.uint64(0x94D049BB133111EB)) >> np.uint64(24), first, last  # mixed anew, since the least are small
+
+
+class Block(NamedTuple):
+    """A block's documents, ordered by id and text, so that each pass sees the same."""
+
+    ids: np.ndarray  # LAST for null
+    texts: pa.Array
+    data: np.ndarray  # all texts' bytes
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, t: pa.Table) -> Block:
+        t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")]))
+        texts = t.column("text").cast(pa.large_string()).combine_chunks().cast(pa.large_binary())
+        texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        ids = t.column("doc_id").fill_null(LAST).to_numpy().astype(np.int64)
+        return cls(ids, texts, np.frombuffer(b"".join(texts.to_pylist()), "u1"), ends)
+
+    def steps(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, first byte, bytes, ends) of some documents at a time, about STEP bytes."""
+        k = 0
+        while k < len(self.ends):
+            start = int(self.ends[k - 1]) if k else 0
+            last = max(k + 1, int(np.searchsorted(self.ends, start + STEP, "right")))
+            yield k, start, self.data[start : self.ends[last - 1]], self.ends[k:last] - start
+            k = last
 
 
 def _pack(h: np.ndarray) -> bytes:
@@ -208,18 +347,27 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
+def _number(t: pa.Table) -> int:
+    return t.column("block")[0].as_py()
+
+
+def _dealt(t: pa.Table, keys: np.ndarray, n_buckets: int, columns: dict[str, tuple]) -> pa.Table:
+    """A row for each bucket of the ascending 40-bit keys; columns: bytes of slices of arrays, by name (array, function of a slice)."""
+    cuts = np.searchsorted((keys * np.uint64(n_buckets)) >> np.uint64(40), np.arange(n_buckets + 1))
+    used = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
+    out = {"bucket": pa.array(used, pa.int32()), "block": pa.array([_number(t)] * len(used), pa.int32())}
+    return pa.table(out | {c: pa.array([pack(a, cuts[b], cuts[b + 1]) for b in used], pa.binary()) for c, (a, pack) in columns.items()})
+
+
 def _block_anchors(t: pa.Table, n_buckets: int) -> pa.Table:
-    """Per bucket the anchors of a block of documents, and whether more than one document has them."""
+    """Per bucket the anchors of a block of documents, and about how many of its documents have each (16 times its binary logarithm)."""
     found = []
-    for k, data, ends in _slices(t):
-        h, first, _ = anchors(np.frombuffer(data, "u1"), ends)
+    for k, _, data, ends in Block.of(t).steps():
+        h, first, _ = anchors(data, ends)
         found.append(_distinct(h, k + np.searchsorted(ends, first, "right")))
-    h = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    h, n = np.unique(h, return_counts=True)
-    packed, bucket = h << np.uint64(1) | (n > 1), (h * np.uint64(n_buckets)) >> np.uint64(40)
-    cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    rows = [(b, _pack(packed[cuts[b] : cuts[b + 1]])) for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
-    return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "block": pa.array([_block(t)] * len(rows), pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
+    h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+    packed = h << np.uint64(8) | np.minimum(255, 16 * np.log2(n)).astype(np.uint64)
+    return _dealt(t, h, n_buckets, {"data": (packed, lambda a, x, y: _pack(a[x:y]))})
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -229,177 +377,220 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return h[np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])] if len(h) else h
 
 
-def _block(t: pa.Table) -> int:
-    return t.column("block")[0].as_py()
-
-
-def _repeated(t: pa.Table) -> pa.Table:
-    """Per block its anchors that more than one document has."""
+def _repeated(t: pa.Table, many: int) -> pa.Table:
+    """Per block its anchors that more than one document has; the last bit tells whether an anchor is hot, in about more than `many`."""
     each = [_unpack(d.as_py()) for d in t.column("data")]
     packed = np.concatenate(each)
-    h = packed >> np.uint64(1)
-    values, n = np.unique(h, return_counts=True)
-    again = values[n > 1]
-    out = [x[((x & np.uint64(1)) > 0) | np.isin(x >> np.uint64(1), again)] >> np.uint64(1) for x in each]
-    return pa.table({"block": t.column("block"), "kind": pa.array([0] * len(out), pa.int32()), "data": pa.array([_pack(x) for x in out], pa.binary())})
-
+    _, which = np.unique(packed >> np.uint64(8), return_inverse=True)
+    about = np.exp2((packed & np.uint64(255)).astype(np.float64) / 16)
+    docs, blocks = np.bincount(which, about), np.bincount(which)
+    again, hot = ((blocks > 1) | (docs > 1))[which], (docs > many)[which]
+    marks = packed >> np.uint64(8) << np.uint64(8) | hot.astype(np.uint64)
+    cuts = np.cumsum([len(x) for x in each])[:-1]
+    out = [_pack(m[a]) for m, a in zip(np.split(marks, cuts), np.split(again, cuts), strict=True)]
+    return pa.table({"block": t.column("block"), "kind": pa.array([0] * len(out), pa.int32()), "data": pa.array(out, pa.binary())})
+
+
+class Contexts(NamedTuple):
+    """The runs of strings of a block whose anchors are repeated, with all their bytes; equal ones have one number."""
+
+    row: np.ndarray  # of each run
+    at: np.ndarray  # its place in the block's bytes
+    code: np.ndarray  # its context's number
+    texts: pa.Array  # the distinct contexts
+    keys: np.ndarray  # where each is dealt: its anchor, or its own hash if the anchor is hot
+    least: np.ndarray  # the smallest doc_id of the block that has it
+
+    @classmethod
+    def of(cls, block: Block, marks: pa.Table) -> Contexts:
+        packed = [_unpack(d.as_py()) for d, kind in zip(marks.column("data"), marks.column("kind").to_pylist(), strict=True) if kind == 0]
+        packed = np.sort(np.concatenate([np.zeros(0, np.uint64), *packed]))
+        repeated, hot = packed >> np.uint64(8), (packed & np.uint64(1)) > 0
+        rows, places, keys, found = [], [], [], []
+        for k, start, data, ends in block.steps():
+            h, first, last = anchors(data, ends)
+            nth = np.searchsorted(repeated, h)
+            hit = np.flatnonzero(np.append(repeated, np.uint64(1 << 63))[nth] == h)
+            first, last, h, nth = first[hit], last[hit], h[hit], nth[hit]
+            each = hot[nth]
+            if each.any():  # every string by itself
+                n = last[each] - first[each] + 1
+                own = np.repeat(first[each], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                h = np.concatenate([h[~each], _gram_hash(data, LENGTH)[own] >> np.uint64(24)])
+                first, last = np.concatenate([first[~each], own]), np.concatenate([last[~each], own])
+            size = last + LENGTH - first
+            upto = np.cumsum(size)
+            own = data[np.repeat(first - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+            found.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], upto]).astype(np.int64)), pa.py_buffer(own)]))
+            rows.append(k + np.searchsorted(ends, first, "right"))
+            places.append(start + first)
+            keys.append(h)
+        join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+        row, at, key = join(rows, np.int64), join(places, np.int64), join(keys, np.uint64)
+        coded = pa.concat_arrays([pa.array([], pa.large_binary()), *found]).dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        of_key, least = np.zeros(len(coded.dictionary), np.uint64), np.full(len(coded.dictionary), LAST)
+        of_key[code] = key
+        np.minimum.at(least, code, block.ids[row])
+        return cls(row, at, code, coded.dictionary, of_key, least)
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends) of a binary array."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    return np.frombuffer(b"".join(texts.to_pylist()), "u1"), ends
 
-def _contexts(t: pa.Table, repeated: np.ndarray) -> Iterator[tuple[int, int, bytes, int]]:
-    """(row, first start in the row's text, bytes of the run of strings, anchor) of each run whose anchor is repeated."""
-    for k, data, ends in _slices(t):
-        h, first, last = anchors(np.frombuffer(data, "u1"), ends)
-        at = np.searchsorted(repeated, h)
-        hit = np.flatnonzero(repeated[np.minimum(at, len(repeated) - 1)] == h) if len(repeated) else []
-        row = np.searchsorted(ends, first[hit], "right")
-        start = np.concatenate([[0], ends])[row]
-        for r, a, b, s, x in zip((row + k).tolist(), first[hit].tolist(), (last[hit] + LENGTH).tolist(), start.tolist(), h[hit].tolist(), strict=True):
-            yield r, a - s, data[a:b], x
 
-
-def _numbers(t: pa.Table) -> list[int]:
-    return [LAST if x is None else x for x in t.column("doc_id").to_pylist()]
+def _block_contexts(t: pa.Table, marks: pa.Table, n_buckets: int) -> pa.Table:
+    """Per bucket the distinct contexts of a block's repeated anchors, each with its number and the least doc_id."""
+    c = Contexts.of(Block.of(t), marks)
+    order = np.argsort(c.keys, kind="stable")
+    data, ends = _bytes_of(c.texts.take(pa.array(order)))
+    starts = np.concatenate([[0], ends])
+    raw = lambda kind: lambda a, x, y: a[x:y].astype(kind).tobytes()
+    keys = c.keys[order]
+    columns = {"keys": (keys, raw("<u8")), "texts": (data, lambda a, x, y: a[starts[x] : starts[y]].tobytes()), "sizes": (np.diff(starts), raw("<u4")), "codes": (order, raw("<u4")), "least": (c.least[order], raw("<i8"))}
+    return _dealt(t, keys, n_buckets, columns)
 
 
-def _block_contexts(t: pa.Table, marks: pa.Table, n_buckets: int) -> pa.Table:
-    """Per bucket the distinct contexts of a block's repeated anchors, each with the least doc_id."""
-    repeated = _marked(marks)
-    ids, least = _numbers(t), {}
-    for row, _, text, anchor in _contexts(t, repeated):
-        key = (anchor, text)
-        if ids[row] < least.get(key, LAST + 1):
-            least[key] = ids[row]
-    rows = []
-    by = sorted(least, key=lambda x: x[0])
-    for b, some in groupby(by, key=lambda x: x[0] * n_buckets >> 40):
-        some = list(some)
-        rows.append((b, pa.array([x[0] for x in some]), pa.array([x[1] for x in some], pa.binary()), pa.array([least[x] for x in some], pa.int64())))
-    lists = lambda k, kind: pa.array([r[k].to_pylist() for r in rows], pa.list_(kind))
-    n = len(rows)
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([_block(t)] * n if n else [], pa.int32()), "anchor": lists(1, pa.int64()), "context": lists(2, pa.binary()), "least": lists(3, pa.int64())})
-
-
-def _marked(marks: pa.Table) -> np.ndarray:
-    data = [_unpack(d.as_py()) for d, kind in zip(marks.column("data"), marks.column("kind").to_pylist(), strict=True) if kind == 0]
-    return np.sort(np.concatenate(data)) if data else np.zeros(0, np.uint64)
+CONTEXTS = "bucket int, block int, keys binary, texts binary, sizes binary, codes binary, least binary"
+_SPAN = np.dtype([("code", "<u4"), ("at", "<u4"), ("n", "<u4")])
 
 
 def _solve(t: pa.Table) -> pa.Table:
-    """For each block, the places of its contexts where a string also is in a document of smaller doc_id than the block has for that context."""
-    heaps: dict[int, dict[bytes, int]] = {}
-    rows = list(zip(t.column("block").to_pylist(), t.column("anchor").to_pylist(), t.column("context").to_pylist(), t.column("least").to_pylist(), strict=True))
-    for _, a, c, m in rows:
-        for anchor, text, least in zip(a, c, m, strict=True):
-            heap = heaps.setdefault(anchor, {})
-            if least < heap.get(text, LAST + 1):
-                heap[text] = least
-    out: list[tuple[int, bytes]] = []
-    runs: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-    for anchor, heap in heaps.items():
-        strings = list(heap.items())
-        if len(strings) == 1:
-            text, number = strings[0]
-            runs[anchor, text] = [(0, len(text) - LENGTH + 1, number)]
-            continue
-        for (text, _), minima in zip(strings, window_minima(strings), strict=True):
-            spans, at = [], 0
-            for value, same in groupby(minima):
-                n = len(list(same))
-                spans.append((at, n, value))
-                at += n
-            runs[anchor, text] = spans
-    for block, a, c, m in rows:
-        reply = []
-        for anchor, text, least in zip(a, c, m, strict=True):
-            spans = [s for s in runs[anchor, text] if s[2] < least]
-            if spans:
-                reply.append((anchor, text, spans))
-        if reply:
-            out.append((block, pa.array([{"a": a, "t": t, "s": [{"at": x, "n": n, "m": v} for x, n, v in s]} for a, t, s in reply], _REPLY)))
-    return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "kind": pa.array([1] * len(out), pa.int32()), "data": pa.array([_ipc(r) for _, r in out], pa.binary())})
-
-
-_REPLY = pa.struct([("a", pa.int64()), ("t", pa.binary()), ("s", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("m", pa.int64())])))])
-
-
-def _ipc(x: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("r", _REPLY)])) as w:
-        w.write_batch(pa.record_batch([x], ["r"]))
-    return sink.getvalue().to_pybytes()
+    """For each block the places in its contexts where a string also is in a document of smaller doc_id than the block has for that context."""
+    column = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(c)])
+    keys, sizes, codes, least = column("keys", "<u8"), column("sizes", "<u4").astype(np.int64), column("codes", "<u4"), column("least", "<i8")
+    of_row = np.repeat(np.arange(t.num_rows), [len(x.as_py()) // 4 for x in t.column("sizes")])
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(t.column("texts").to_pylist()))])
+    coded = texts.dictionary_encode()
+    which, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    of_key, lowest = np.zeros(n, np.uint64), np.full(n, LAST)
+    of_key[which] = keys
+    np.minimum.at(lowest, which, least)
+    order = np.argsort(of_key, kind="stable")
+    data, ends = _bytes_of(coded.dictionary.take(pa.array(order)))
+    minima = window_minima(data, ends, lowest[order], of_key[order])
+    windows = np.diff(ends, prepend=0) - LENGTH + 1
+    upto = np.cumsum(windows)
+    # runs of equal minima in a context
+    new = np.ones(len(minima), bool)
+    new[1:] = minima[1:] != minima[:-1]
+    new[upto[:-1]] = True
+    runs = np.flatnonzero(new)
+    size, value = np.diff(runs, append=len(minima)), minima[runs]
+    lead = np.searchsorted(runs, upto - windows)
+    n_runs = np.diff(lead, append=len(runs))
+    # each entry of a block with each run of its context
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    best = np.minimum.reduceat(value, lead) if n else value
+    entry = np.flatnonzero(best[rank[which]] < least)
+    ctx = rank[which[entry]]
+    m = n_runs[ctx]
+    run = np.repeat(lead[ctx] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+    entry, ctx = np.repeat(entry, m), np.repeat(ctx, m)
+    less = value[run] < least[entry]
+    run, entry, ctx = run[less], entry[less], ctx[less]
+    spans = np.empty(len(run), _SPAN)
+    spans["code"], spans["at"], spans["n"] = codes[entry], runs[run] - (upto - windows)[ctx], size[run]
+    cuts = np.searchsorted(of_row[entry], np.arange(t.num_rows + 1))
+    used = [k for k in range(t.num_rows) if cuts[k] < cuts[k + 1]]
+    blocks = t.column("block").to_pylist()
+    return pa.table({"block": pa.array([blocks[k] for k in used], pa.int32()), "kind": pa.array([1] * len(used), pa.int32()), "data": pa.array([spans[cuts[k] : cuts[k + 1]].tobytes() for k in used], pa.binary())})
 
 
 def _cut_out(t: pa.Table, marks: pa.Table, texts: bool) -> pa.Table:
     """The documents of a block without their repeated strings."""
-    repeated, ids = _marked(marks), _numbers(t)
-    less: dict[tuple[int, bytes], list[dict]] = {}
-    for d, kind in zip(marks.column("data"), marks.column("kind").to_pylist(), strict=True):
-        if kind == 1:
-            for r in pa.ipc.open_stream(d.as_py()).read_all().column("r").to_pylist():
-                less[r["a"], r["t"]] = r["s"]
-    least: dict[tuple[int, bytes], int] = {}
-    found: dict[int, list[tuple[int, tuple[int, bytes]]]] = {}
-    for row, at, text, anchor in _contexts(t, repeated):
-        key = (anchor, text)
-        if ids[row] < least.get(key, LAST + 1):
-            least[key] = ids[row]
-        found.setdefault(row, []).append((at, key))
-    out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-    for row, text in enumerate(t.column("text").to_pylist()):
-        data, gone = text.encode(), []
-        for at, key in sorted(found.get(row, ()), key=lambda x: x[0]):
-            if least[key] < ids[row]:
-                places = [(at, len(key[1]) - LENGTH + 1)]
-            else:
-                places = [(at + s["at"], s["n"]) for s in less.get(key, ()) if s["m"] < ids[row]]
-            for a, n in places:
-                b = a + n - 1 + LENGTH
-                if gone and a <= gone[-1][1]:
-                    gone[-1][1] = max(gone[-1][1], b)
-                else:
-                    gone.append([a, b])
-        kept, upto = [], 0
-        for a, b in gone:
-            kept.append(data[upto:a])
-            upto = b
-        kept.append(data[upto:])
-        rest = b"".join(kept)
-        for c, v in zip(out, (None if ids[row] == LAST else ids[row], len(data), len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest if texts else None), strict=True):
-            out[c].append(v)
-    return pa.table({c: pa.array(v, pa.binary() if c == "kept" else pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()})
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    block = Block.of(t)
+    c = Contexts.of(block, marks)
+    spans = np.frombuffer(b"".join(d.as_py() for d, kind in zip(marks.column("data"), marks.column("kind").to_pylist(), strict=True) if kind == 1), _SPAN)
+    spans = spans[np.argsort(spans["code"], kind="stable")]
+    own = block.ids[c.row]
+    whole = np.flatnonzero(c.least[c.code] < own)  # the block itself has a smaller one
+    rows, first, last = [c.row[whole]], [c.at[whole]], [c.at[whole] + pc.binary_length(c.texts).to_numpy().astype(np.int64)[c.code[whole]]]
+    part = np.flatnonzero(c.least[c.code] == own)
+    lead, end = (np.searchsorted(spans["code"], c.code[part], side) for side in ("left", "right"))
+    n = end - lead
+    which = np.repeat(lead - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    part = np.repeat(part, n)
+    rows.append(c.row[part])
+    first.append(c.at[part] + spans["at"][which])
+    last.append(first[1] + spans["n"][which] + (LENGTH - 1))
+    row, a, b = (np.concatenate(x).astype(np.int64) for x in (rows, first, last))
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], np.maximum.accumulate(b[order])
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (a[1:] > b[:-1])
+    lead = np.flatnonzero(new)
+    row, a, b = row[lead], a[lead], b[np.append(lead[1:], len(b))[: len(lead)] - 1]
+    cuts = np.searchsorted(row, np.arange(len(block.ids) + 1)).tolist()
+    data, starts = memoryview(block.data.tobytes()), np.concatenate([[0], block.ends])
+    out: list[bytes] = []
+    for k, (x, y) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+        if cuts[k] == cuts[k + 1]:
+            out.append(bytes(data[x:y]))
+        else:
+            kept, upto = [], x
+            for p, q in zip(a[cuts[k] : cuts[k + 1]].tolist(), b[cuts[k] : cuts[k + 1]].tolist(), strict=True):
+                kept.append(data[upto:p])
+                upto = q
+            out.append(b"".join([*kept, data[upto:y]]))
+    size = np.diff(block.ends, prepend=0)
+    return pa.table({
+        "doc_id": pa.array(block.ids, mask=block.ids == LAST), "n_bytes": size, "n_removed": size - np.array([len(x) for x in out], np.int64), "n_spans": np.diff(cuts),
+        "kept_sha256": [hashlib.sha256(x).hexdigest() for x in out], "kept": pa.array(out if texts else [None] * len(out), pa.binary()),
+    })
+
+
+def _into_blocks(base: DataFrame, name: str, block_bytes: int) -> int:
+    """Write (doc_id, text) as a table bucketed by block and return how many blocks there are.
+
+    A block is what some input splits hold, about block_bytes; documents stay in the task that read them. Its number
+    is one that Spark's hash puts into the bucket meant, so no text is shuffled, now or when the table is read.
+    """
+    spark = base.sparkSession
+    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    ids = F.col("id").cast("int")
+    found = spark.range(64 * n).groupBy(F.pmod(F.hash(ids), F.lit(n)).alias("bucket")).agg(F.min(ids).alias("block")).orderBy("bucket")
+    numbers = F.array(*[F.lit(r.block) for r in found.collect()])  # one for each block
+    dealt = base.withColumn("block", F.get(numbers, F.spark_partition_id() % F.lit(n)))
+    dealt.write.bucketBy(n, "block").option("compression", "zstd").format("parquet").saveAsTable(name, path=scratch(spark, name))
+    return n
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Remove each byte that lies in a string of LENGTH bytes which also starts in a document of smaller doc_id.
 
     Returns one row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left; null unless
     texts). Null is the empty text. A null doc_id is greater than all others; equal ids, in several rows, remove
-    nothing of each other. An empty table gives no rows; other columns are not read.
-
-    Documents are dealt into blocks by a hash, once, as a table bucketed by block, so that later passes leave the
-    texts where they lie. A string's anchor tells where equal strings meet: anchors that one document alone has are
-    left out; for the others each block sends its distinct contexts, once however many of its documents hold them.
-    Where several contexts meet, equal strings in them are found by a suffix array. So a passage in a third of all
+    nothing of each other. An empty table gives no rows; other columns are not read. A text of any length is read
+    whole; it is a block of its own if it is longer than one.
+
+    Documents lie in blocks of about block_bytes, written once as a table bucketed by block, so that no pass moves the
+    texts. A string's anchor tells where equal strings can meet: anchors that one document alone has are left out; for
+    the others each block sends its distinct contexts, once however many of its documents hold them. Where contexts of
+    an anchor meet, equal strings in them are found by suffix arrays. Strings around an anchor of more than `hot`
+    documents are dealt by their own hash, so no anchor's contexts must be in one task. A passage in a third of all
     documents costs an entry for each block, not for each document.
     """
     spark = docs.sparkSession
-    n = parts(spark)
-    buckets = 8 * n  # of anchors: contexts are larger in Python than in a block
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     name = f"suffix_blocks_{uuid.uuid4().hex}"
-    blocks = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
-    blocks.write.bucketBy(n, "block").sortBy("block").option("compression", "zstd").format("parquet").saveAsTable(name, path=scratch(spark, name))
+    buckets = 4 * _into_blocks(base, name, block_bytes)  # of anchors
     blocks = spark.table(name).select("block", "doc_id", "text")
     found = blocks.groupBy("block").applyInArrow(lambda t: _block_anchors(t, buckets), "bucket int, block int, data binary")
-    marks = cut(found.groupBy("bucket").applyInArrow(_repeated, "block int, kind int, data binary"))
-    shape = "bucket int, block int, anchor array<long>, context array<binary>, least array<long>"
-    contexts = blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda t, m: _block_contexts(t, m, buckets) if t.num_rows else _none(shape), shape)
-    replies = cut(contexts.groupBy("bucket").applyInArrow(_solve, "block int, kind int, data binary"))
+    marks = cut(found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _repeated(t, hot), "block int, kind int, data binary"))
+    contexts = blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda t, m: _block_contexts(t, m, buckets) if t.num_rows else _none(CONTEXTS), CONTEXTS)
+    replies = cut(contexts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_solve, "block int, kind int, data binary"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return blocks.groupBy("block").cogroup(marks.unionByName(replies).groupBy("block")).applyInArrow(lambda t, m: _cut_out(t, m, texts) if t.num_rows else _none(out), out)
 
 
 def _none(shape: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     return pa.table({c: pa.array([], kinds[k]) for c, k in (x.split() for x in shape.split(", "))})
 
 
