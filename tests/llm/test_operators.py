@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, exact_dedup, near_copies, packing, repair, simhash, suffix_dedup, token_counts, toxicity, url_filters
+from tracewell.llm import decontaminate, exact_dedup, language, near_copies, packing, repair, simhash, suffix_dedup, token_counts, toxicity, url_filters
 from tracewell.llm.common import connected_components, scratch
 
 TEXTS = [(1, "same text here"), (2, "same text here"), (3, None), (4, ""), (None, "same text here"), (5, "É one"), (5, "É one"), (6, "x" * 70000), (7, "Other words entirely, and more of them.")]
@@ -32,6 +34,9 @@ def test_exact_dedup(spark, docs, empty):
     assert {x.keep_id for x in same} == {2} and {x.group_size for x in same} == {3} and [x.doc_id for x in same if x.kept] == [2]
     again = exact_dedup.exact_dedup(docs, index).collect()
     assert not any(x.kept for x in again)
+    other = exact_dedup.DigestIndex(spark, scratch(spark, "t"))
+    first, second = (sorted(map(str, exact_dedup.exact_dedup(docs, other, batch="b1").collect())) for _ in range(2))
+    assert first == second and other.files().count() == 5
     kept = exact_dedup.drop_copies(docs, exact_dedup.DigestIndex(spark, scratch(spark, "t"), 2))
     assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [2, 4, 5, 6, 7]
 
@@ -45,6 +50,13 @@ def test_repair_files(spark, docs, empty):
     r = sorted(repair.document_index(spark, to).collect(), key=lambda x: x.start)
     assert len(r) == len(TEXTS) and r[0].doc_id is None
     assert all(a.start + a.n_tokens == b.start for a, b in zip(r, r[1:])) and [x.n_tokens for x in r if x.doc_id in (3, 4)] == [1, 1]
+    from tokenizers import Tokenizer
+
+    whole, at = Tokenizer.from_file(path), 0
+    for x, (_, text) in zip(r, sorted(TEXTS, key=lambda t: (t[0] is not None, t[0])), strict=True):
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, repair.END_ID]
+        assert (x.start, x.n_tokens, x.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
     repair.write_shards(empty, to + "e", path)
     assert repair.document_index(spark, to + "e").count() == 0
 
@@ -54,6 +66,15 @@ def test_packing(spark, docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     r = packing.pack(packing.token_pieces(docs, path)).collect()
+    from tokenizers import Tokenizer
+
+    whole, want = Tokenizer.from_file(path), []
+    for i, text in TEXTS:
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, packing.END_ID], "<u4")
+        first = len(ids) % 2048 or min(len(ids), 2048)
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        want += [(i or 0, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted((x.doc_id or 0, x.piece, x.start, x.length, x.ids_crc32) for x in r) == sorted(want)
     by: dict = {}
     for x in r:
         by.setdefault(x.sequence_id, []).append((x.offset, x.length))
@@ -209,6 +230,104 @@ def test_url_filter(spark):
     assert url_filters.url_filter(pages, url_filters.rules_table(spark)).count() == len(rows)
 
 
+def test_page_edges_of_any_link(spark):
+    link = '<link rel=canonical href="{}">'.format
+    rows = [(1, "http://a.net/p/q", link("/login?next=http://b.net/x")), (2, "http://a.net/p/q/r", link("../c") + link("./d/../e")), (3, "http://a.net", link("..")), (4, "https://a.net/z", link("//B.net/y#f")), (5, "http://a.net/k", link("?a=1")), (6, None, link("/x")), (7, "http://a.net/n", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = sorted((r.u, r.v) for r in url_filters.page_edges(pages).collect())
+    assert edges == sorted([("a.net/p/q", "a.net/login?next=http://b.net/x"), ("a.net/p/q/r", "a.net/p/c"), ("a.net/p/q/r", "a.net/p/q/e"), ("a.net/", "a.net/"), ("a.net/z", "b.net/y"), ("a.net/k", "a.net/k?a=1")])
+
+
+def test_url_filter_against_brute_force(spark):
+    """Chains of redirects, whose closure is taken in Python."""
+    rng = random.Random(8)
+    hosts = ["a.net", "x.example.net", "b.io", "c.io", "d.org", "www.example.com", "e.io"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr', 'x'])}/{k}" for k in range(80)]
+    redirects = [(rng.choice(urls), rng.choice(urls)) for _ in range(45)]
+    pages = spark.createDataFrame([(k, u, "junk", "h") for k, u in enumerate(urls)], "page_id long, url string, html string, host string")
+    got = {r.page_id: r.verdict for r in url_filters.url_filter(pages, url_filters.rules_table(spark), spark.createDataFrame(redirects, "src string, dst string")).collect()}
+
+    def rule(u):
+        host, path = u[7:].split("/", 1)
+        fit = [(len(h + p), v == "allow", v) for h, p, v in url_filters.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fit)[2] if fit else None
+
+    group = {u: {u} for u in urls}
+    for a, b in redirects:
+        both = group[a] | group[b]
+        for u in both:
+            group[u] = both
+    for k, u in enumerate(urls):
+        said = {rule(x) for x in group[u]}
+        assert got[k] == (rule(u) or ("allow" if "allow" in said else "block" if "block" in said else "allow"))
+    assert {"allow", "block"} == set(got.values()) and url_filters.url_filter(pages.where("false"), url_filters.rules_table(spark)).count() == 0
+
+
+def test_language(spark, docs, empty):
+    rng = random.Random(4)
+    vocabulary = {"aa": "kato mitu pola resa dunika", "bb": "xyrth qwolm vrzek grpst", "cc": "où été forêt élan çà"}
+    rows = [(k, " ".join(rng.choices(vocabulary[y].split(), k=12)), y, "s") for k in range(150) for y in [["aa", "bb", "cc"][k % 3]]]
+    rows += [(200, None, "aa", "s"), (201, "12 34 ..", "bb", "s"), (202, "", None, "s"), (203, "kato mitu", None, "s"), (204, "kato " * 20_000, "aa", "s"), (203, "kato mitu", None, "s"), (None, "xyrth qwolm", "bb", "s")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    net = language.fit_language(texts, train_docs=60)
+    assert net.langs == ["aa", "bb", "cc"]
+    r = language.identify(texts, net).collect()
+    assert len(r) == len(rows) and all(0 <= x.score <= 1 for x in r)
+    said = {x.doc_id: x for x in r}
+    assert all(said[k].lang_pred == "und" and said[k].score == 0 for k in (200, 201, 202))
+    assert said[203].lang_pred == said[204].lang_pred == "aa" and said[None].lang_pred == "bb" and not said[None].held_out
+    assert sum(said[k].lang_pred == y for k, _, y, _ in rows[:150]) >= 148
+    assert {k for k in range(150) if said[k].held_out} == {k for k in range(150) if zlib.crc32(str(k).encode()) % 5 == 0}
+    kept = language.keep_languages(texts, net)
+    assert kept.columns == texts.columns and not {200, 201, 202} & {x.doc_id for x in kept.collect()}
+    assert language.identify(empty, net).count() == 0
+    nothing = language.fit_language(texts.where("false"))
+    assert {x.lang_pred for x in language.identify(texts, nothing).collect()} == {"und"}
+
+
+def test_language_keeps_every_language(spark):
+    rows = [(k, f"word{k} some text", f"l{k // 8}") for k in range(8 * 230)]
+    net = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=10)
+    assert len(net.langs) >= 229
+
+
+def test_drop_contaminated_keeps_columns(spark):
+    words = " ".join(f"w{k}" for k in range(14))
+    texts = spark.createDataFrame([(1, "x " * 60_000 + words, 1), (1, "clean", 2), (None, None, 3)], "doc_id long, text string, __text_hash int")
+    items = spark.createDataFrame([(7, words)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(texts, items)
+    assert left.columns == texts.columns and sorted(r["__text_hash"] for r in left.collect()) == [2, 3]
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocabulary = {"aa": ["kato", "mitu", "pola", "resa", "dunika", "foru"], "bb": ["xyrth", "qwolm", "vrzek", "grpst", "thrkl"]}
+    body = lambda y, n: " ".join(rng.choice(vocabulary[y]) + rng.choice("aeiou") for _ in range(n))
+    item = " ".join(f"item{k}" for k in range(12))
+    rows = [(k, body(y, 60), y) for k in range(40) for y in ["aa" if k % 2 else "bb"]]
+    rows += [(50, rows[3][1], "aa"), (51, rows[3][1], "aa"), (52, rows[4][1] + " xyrtha", "bb"), (53, body("aa", 30) + " " + item + " pola", "aa"), (54, None, "aa"), (55, "...", None), (56, rows[5][1], None), (56, rows[5][1], None), (None, body("bb", 50), "bb")]
+    texts = spark.createDataFrame([(i, t, y, "src", len(t or "")) for i, t, y in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r.doc_id is not None, r.doc_id) for r in df.select("doc_id").collect())
+    all_but = lambda *gone: sorted((i is not None, i) for i, _, _ in rows if i not in gone)
+    docs = stages["language"](spark, texts, str(tmp_path))
+    assert ids(docs) == all_but(54, 55) and docs.columns == texts.columns
+    docs = stages["exact_dedup"](spark, docs, str(tmp_path))
+    assert ids(docs) == sorted(set(all_but(54, 55, 3, 50, 5))) and docs.columns == texts.columns
+    docs = stages["near_dedup"](spark, docs, str(tmp_path))
+    assert ids(docs) == sorted(set(all_but(54, 55, 3, 50, 5, 52))) and docs.columns == texts.columns
+    docs = stages["decontaminate"](spark, docs, str(tmp_path))
+    assert ids(docs) == sorted(set(all_but(54, 55, 3, 50, 5, 52, 53))) and docs.columns == texts.columns
+    pieces = stages["packing"](spark, docs, str(tmp_path)).collect()
+    assert len(pieces) == docs.count() and len({p.sequence_id for p in pieces}) == -(-sum(p.length for p in pieces) // 2048)
+    nothing = texts.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0, name
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (7, 7), (None, 3)], "u long, v long")
     got = {r.node: r.component for r in connected_components(e).collect()}

@@ -179,3 +179,18 @@ def test_machine_learns_a_pair_that_no_term_shows():
     m.fit(docs, np.array(y), np.ones(len(y)))
     score = lambda d: m.raw(np.array([r for r in m.at[d] if r >= 0]), np.array([0, sum(m.at[d] >= 0)]))[0][0]
     assert min(score([1, 3]), score([2, 3])) > max(score([1, 2, 3]), score([3]))
+
+
+def test_machine_learns_a_pair_of_rare_terms():
+    rng = np.random.default_rng(2)
+    docs, y = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.1
+        docs.append(np.array([1] * bool(a) + [2] * bool(b) + [3, *(10 + np.flatnonzero(rng.random(200) < 0.05))], np.int64))
+        y.append(float(a and b) if rng.random() < 0.98 else 1.0)
+    # each term alone is made as toxic as the rest: documents with one of the two are never labelled by chance
+    y = np.array([0.0 if (1 in d) != (2 in d) else v for d, v in zip(docs, y, strict=True)])
+    n = np.bincount(np.concatenate(docs), minlength=1 << toxicity.BITS)
+    toxic = np.bincount(np.concatenate([d for d, v in zip(docs, y, strict=True) if v]), minlength=1 << toxicity.BITS)
+    found = toxicity.paired_terms(docs, y, n, toxic)
+    assert {1, 2} <= set(found.tolist()) and len(found) < 12

@@ -106,8 +106,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     judged = decontaminate(docs.select(docs[id_col].alias("doc_id"), text.alias("text")), benchmark, window)
     hit = cut(judged.where("contaminated").select("doc_id", "text_hash").distinct())
-    rows = docs.withColumn("__text_hash", F.xxhash64(text))
-    return rows.join(hit, docs[id_col].cast("long").eqNullSafe(hit.doc_id) & (rows["__text_hash"] == hit.text_hash), "left_anti").drop("__text_hash")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("row_id"), F.xxhash64(text).alias("row_hash"))
+    return rows.join(hit, F.col("row_id").eqNullSafe(hit.doc_id) & (F.col("row_hash") == hit.text_hash), "left_anti").select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

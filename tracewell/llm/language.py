@@ -9,14 +9,14 @@ from itertools import filterfalse
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hold, table
+from .common import cut, hold, table
 from .tokens import batches
 
-#: Documents that the network is fitted on, at most: those of the smallest hash. Their words train it; all else covers every document.
-TRAIN_DOCS = 1500
+#: Documents that the network is fitted on, at most, or one a language if there are more languages: those of the smallest hash; and distinct words of each. All else covers every document.
+TRAIN_DOCS, TRAIN_WORDS = 1500, 200
 HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 12, 700, 384, 0.01
 #: Bytes of a reading window. The state is begun anew at white space, and inside longer words after so many bytes.
 WINDOW = 32
@@ -155,6 +155,8 @@ class Reader:
 
     def pooled(self, texts: list[str]) -> np.ndarray:
         """Per text the mean over all its positions of the languages' log-probabilities."""
+        if not self.net.langs:
+            return np.zeros((len(texts), 0))
         if len(self.number) > CACHE_WORDS:
             self.clear()
         chains = [reading_words(t) for t in texts]
@@ -209,27 +211,33 @@ def held_out(id_col: Column, mod: int, rest: int) -> Column:
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> BiGRU:
     """Fit the network to text and language of at most train_docs labelled documents that are not held out, alike many of each language.
 
-    Takes the documents with the smallest hashes of their ids, so the choice doesn't depend on order or partitions.
+    Takes the documents with the smallest hashes of id and text, so the choice doesn't depend on order or partitions,
+    and of each the TRAIN_WORDS distinct words of least hash, from the whole text. Every language that a document
+    outside the held-out ones has is learned. Rows with a null are not learned from; without any the network knows no
+    language, and repeated rows count once.
     """
     rows = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"), docs[lang_col].cast("string").alias("y"))
     rows = rows.where("t is not null and y is not null and i is not null").where(~held_out(F.col("i"), 5, 0))
-    langs = sorted(r.y for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(200).collect())
+    hashed = rows.withColumn("k", F.xxhash64("i", "t"))
+    counts = cut(hashed.groupBy("y").agg(F.count("*").alias("n")))
+    langs = sorted(r.y for r in counts.select("y").collect())
+    each = max(1, train_docs // max(1, len(langs)))
+    # hashes are even, so the smallest `each` of a language are among a few times as many; the rest is not sorted
+    share = F.pmod("k", F.lit(1 << 32)) / F.lit(float(1 << 32))
+    few = hashed.select("k", "y").join(F.broadcast(counts), "y").where(share * F.col("n") < 4 * each + 40).distinct()
+    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.pmod("k", F.lit(1 << 32)), "k"))
+    few = few.withColumn("nth", nth).where(F.col("nth") <= each).select("k", "y")
+    own = hashed.join(F.broadcast(few), ["k", "y"]).dropDuplicates(["k", "y"])
+    read = F.array_distinct(F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    least = F.slice(F.array_sort(F.transform(read, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, TRAIN_WORDS)
     words: list[bytes] = []
     ys: list[int] = []
-    hashed = rows.withColumn("k", F.xxhash64("i", "t"))
-    ids = [hashed.where(F.col("y") == y).select("k").orderBy("k").limit(max(1, train_docs // len(langs))) for y in langs]
-    if ids:
-        few = ids[0]
-        for x in ids[1:]:
-            few = few.unionByName(x)
-        # at most train_docs keys, and so many texts come to the driver, each with 200 of its words
-        own = hashed.join(F.broadcast(few.distinct()), "k").select("k", "t", "y").orderBy("k")
-        short = F.slice(F.split("t", r"[\x20\x09-\x0D]+"), 1, 200)
-        for r in own.select(short.alias("w"), "y").collect():
-            for w in r.w:
-                for piece in reading_words(w):
-                    words.append(piece)
-                    ys.append(langs.index(r.y))
+    at = {y: k for k, y in enumerate(langs)}
+    for r in own.select("k", "y", F.transform(least, lambda x: x["w"]).alias("w")).orderBy("k", "y").collect():
+        for w in r.w:
+            for piece in reading_words(w):
+                words.append(piece)
+                ys.append(at[r.y])
     net = BiGRU(langs)
     if words and len(langs) > 1:
         net.fit(words, ys)

@@ -53,9 +53,10 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int = CAPACITY) -> tup
 
     For the longest piece x with room r left beside it, a set that dominates all others with x is fixed: x alone if
     nothing fits; x and y where y fills r; x and the longest fitting y where no two or more pieces sum to more than y
-    and at most r, for then whatever lies beside x elsewhere can change places with y. Sets beside x of three and more
-    are only ruled out by size (three of the shortest exceed r). All copies are fixed at once. Repeats until nothing
-    can be fixed, since each fix makes the instance smaller.
+    and at most r, for then whatever lies beside x elsewhere can change places with y; x with y and the longest z that
+    fits beside both, where no three fit beside x and of any two that fit the shorter is at most z. Sets of three and
+    more beside x are only ruled out by size. All copies are fixed at once. Repeats until nothing can be fixed, since
+    each fix makes the instance smaller.
     """
     left, fixed = Counter({k: n for k, n in counts.items() if n}), []
     more = True
@@ -69,9 +70,13 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int = CAPACITY) -> tup
                     sets, n = {x: 1}, left[x]
                 else:
                     y = fits[-1]
-                    if y != room and not _only(left, fits, x, y, room):
+                    if y == room or _only(left, fits, x, y, room):
+                        sets = Counter([x, y])
+                    elif z := _pair(left, fits, x, y, room):
+                        sets = Counter([x, y, z])
+                    else:
                         break
-                    sets, n = ({x: 2}, left[x] // 2) if x == y else ({x: 1, y: 1}, min(left[x], left[y]))
+                    n = min(left[k] // m for k, m in sets.items())
                 for k, m in sets.items():
                     left[k] -= m * n
                 fixed.append((sets, n))
@@ -99,6 +104,17 @@ def _only(left: Counter, fits: list[int], x: int, y: int, room: int) -> bool:
     return True
 
 
+def _pair(left: Counter, fits: list[int], x: int, y: int, room: int) -> int:
+    """The piece z that with y dominates all that fits beside x, or 0."""
+    free = Counter({k: left[k] - (k == x) for k in fits})
+    shortest = [k for k in fits[:3] for _ in range(min(3, free[k]))][:3]
+    if len(shortest) == 3 and sum(shortest) <= room:
+        return 0
+    z = max((k for k in fits if k + y <= room and free[k] > (k == y)), default=0)
+    above = [k for k in fits if k > z for _ in range(min(2, free[k]))][:2]
+    return z if z and (len(above) < 2 or sum(above) > room) else 0
+
+
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Best-fit decreasing over the histogram of lengths: pieces of a length and sequences of a look are moved together."""
     open_: dict[int, list[Pattern]] = {}
@@ -160,7 +176,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces(length, ...) with sequence_id and offset, in as few sequences as the plan finds.
 
     The plan needs only how many pieces there are of each length, at most `capacity` numbers, so the driver makes it
-    at any size of the input. A piece learns its place from its rank among those of its length: its rank in a bucket
+    at any size of the input. Null texts are documents of END_ID alone; texts of any length are cut into pieces. A piece learns its place from its rank among those of its length: its rank in a bucket
     and the sums of the buckets before. A length that many pieces share is spread over all buckets. Empty input gives
     no rows; repeated rows are pieces of their own.
     """

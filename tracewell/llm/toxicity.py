@@ -16,11 +16,13 @@ from .common import hold, table
 from .language import held_out
 from .tokens import batches
 
-#: The machine is fitted on at most so many labelled documents of each label, those of the smallest hash among texts of at most TRAIN_CHARS characters.
-TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000
+#: The machine is fitted on at most so many labelled documents of each label, those of the smallest hash, whole.
+TRAIN_DOCS = 3000
 BITS, FACTORS, EPOCHS, RATE, LEAST_DOCS = 20, 8, 25, 0.3, 3
-#: Terms that get parameters: those whose documents are labelled toxic more or less often than all by so large a chi-square, and those in so large a share of documents (they may count in pairs only).
+#: Terms that get parameters: those whose documents are labelled toxic more or less often than all by so large a chi-square, those in so large a share of documents, and both of a pair whose documents differ by so large a chi-square from those of either alone.
 CHI2, COMMON = 25.0, 0.2
+#: Pairs are looked for among so many terms, the most frequent.
+PAIR_TERMS = 3000
 #: Soft threshold on weights at each step, and decay of factors: only terms that keep earning their weight have one.
 L1, L2 = 3e-4, 1e-3
 THRESHOLD = 0.3
@@ -43,6 +45,24 @@ def text_terms(text: str) -> np.ndarray:
     return np.array(sorted(out), np.int64)
 
 
+def paired_terms(docs: list[np.ndarray], y: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Terms of pairs that tell what neither term does: documents with both are labelled otherwise than those with either."""
+    some = np.argsort(-n, kind="stable")[:PAIR_TERMS]
+    some = some[n[some] >= LEAST_DOCS]
+    at = np.full(len(n), -1)
+    at[some] = np.arange(len(some))
+    has = np.zeros((len(docs), len(some)), "f4")
+    for k, d in enumerate(docs):
+        has[k, at[d][at[d] >= 0]] = 1
+    bad = has[y > 0]
+    both, hit = has.T @ has, bad.T @ bad
+    share = np.clip(toxic[some] / n[some], 1e-3, 1 - 1e-3)[:, None]
+    off = (np.abs(hit - both * share) - 0.5).clip(0) ** 2 / np.maximum(both * share * (1 - share), 1e-9)
+    off = np.minimum(off, off.T)  # against the one, and against the other
+    np.fill_diagonal(off, 0)
+    return some[((off >= CHI2) & (both >= LEAST_DOCS)).any(1)]
+
+
 class FactorizationMachine:
     """score = sigmoid(bias + sum of w over a document's terms + sum over pairs of terms of <v_i, v_j>)."""
 
@@ -65,7 +85,9 @@ class FactorizationMachine:
         toxic = np.bincount(np.concatenate([*[d for d, v in zip(docs, y, strict=True) if v], np.zeros(0, np.int64)]), minlength=1 << BITS)
         share = max(1, y.sum()) / len(y)
         off = (np.abs(toxic - n * share) - 0.5).clip(0) ** 2 / np.maximum(n * share * (1 - share), 1e-9)
-        often = np.flatnonzero((n >= LEAST_DOCS) & ((off >= CHI2) | (n >= COMMON * len(docs))))
+        keep = (n >= LEAST_DOCS) & ((off >= CHI2) | (n >= COMMON * len(docs)))
+        keep[paired_terms(docs, y, n, toxic)] = True
+        often = np.flatnonzero(keep)
         self.at[often] = np.arange(len(often))
         docs = [(r := self.at[d])[r >= 0] for d in docs]
         self.w, self.v = np.zeros(len(often)), rng.normal(0, 0.01, (len(often), FACTORS))
@@ -154,7 +176,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return machine
     few = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs) for y in (0, 1)]
     few = F.broadcast(few[0].unionByName(few[1]))
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where(F.length("text") <= TRAIN_CHARS).join(few, "doc_id")
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).join(few, "doc_id")
     y_of = own.select("doc_id", "y").distinct()
     got = own.select("doc_id", "text").mapInArrow(_extract, "doc_id long, terms binary").join(F.broadcast(y_of), "doc_id").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.terms)))

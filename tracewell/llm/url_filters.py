@@ -32,27 +32,35 @@ def url_node(url: Column) -> Column:
     return F.when(url_host(url) != "", F.concat(url_host(url), F.when(url_path(url) == "", "/").otherwise(url_path(url)), query))
 
 
+def resolved_path(path: Column) -> Column:
+    """A path without its dot segments; .. at the top stays there."""
+    none = F.array().cast("array<string>")
+    steps = F.split(path, "/")
+    up = lambda s: F.when(F.size(s) > 1, F.slice(s, 1, F.size(s) - 1)).otherwise(s)
+    kept = F.aggregate(steps, none, lambda s, x: F.when(x == "..", up(s)).when(x == ".", s).otherwise(F.concat(s, F.array(x))))
+    closed = F.when(path.rlike(r"(^|/)\.{1,2}$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.array_join(closed, "/")).otherwise(path)
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v) nodes that a page's canonical link or immediate refresh declares to be the same page.
+    """(u, v) nodes that a page's canonical links and immediate refreshes declare to be the same page.
 
-    A target may be absolute, protocol-relative, root-relative or relative to the page's folder.
+    A target is absolute if it begins with a scheme, else protocol-relative, root-relative or relative to the page's
+    folder; dot segments are resolved.
     """
     url, html = F.col("url"), F.coalesce(F.col("html"), F.lit(""))
-    canonical = F.regexp_extract(html, r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", 1)
-    links = F.array(
-        F.regexp_extract(canonical, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1),
-        F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1),
+    canonical = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), 0)
+    refresh = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), 0)
+    links = F.concat(
+        F.transform(canonical, lambda x: F.regexp_extract(x, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)),
+        F.transform(refresh, lambda x: F.regexp_extract(x, r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1)),
     )
-    found = pages.select(pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")).select("url", F.explode(F.filter(links, lambda x: x != "")).alias("to"))
+    found = pages.select(pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")).select("url", F.explode(F.array_distinct(F.filter(links, lambda x: x != ""))).alias("to"))
     to, scheme = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&")), F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit("://"))
     folder = F.regexp_extract(url_path(url), r"^(.*/)", 1)
-    target = (
-        F.when(to.contains("://"), to)
-        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
-        .when(to.startswith("/"), F.concat(scheme, url_host(url), to))
-        .otherwise(F.concat(scheme, url_host(url), F.when(folder == "", "/").otherwise(folder), to))
-    )
+    bare, tail = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    rooted = F.when(bare == "", url_path(url)).when(bare.startswith("/"), bare).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), bare))
+    target = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).otherwise(F.concat(scheme, url_host(url), resolved_path(rooted), tail))
     return found.select(url_node(url).alias("u"), url_node(target).alias("v")).where("u is not null and v is not null")
 
 
