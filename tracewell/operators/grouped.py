@@ -22,7 +22,7 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[l
         for some in it:
             out: list[tuple] = []
             for row in some.itertuples(index=False):
-                own = tuple(getattr(row, k) for k in keys)
+                own = tuple(None if pd.isna(v := getattr(row, k)) else v for k in keys)  # null is a key like any other
                 if own != key and held:
                     out += work(held)
                     held = []
