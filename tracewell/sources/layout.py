@@ -11,13 +11,6 @@ from ..functions.text import is_blank, layer_is_sane
 CHAR, LINE, HEIGHT = 6.0, 12.0, 10.0
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files as documents: doc_id (their digest), source, kind (pdf or image), error (empty file), content. Copies stay apart by source."""
-    files = spark.read.format("binaryFile").load(path)
-    head = F.decode(F.substr("content", F.lit(1), F.lit(1024)), "ISO-8859-1")
-    return files.select(F.sha2("content", 256).alias("doc_id"), F.col("path").alias("source"), F.when(F.instr(head, "%PDF-") > 0, "pdf").otherwise("image").alias("kind"), F.when(F.col("length") == 0, "empty file").alias("error"), "content")
-
-
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, text): the lines of a text, numbered from 0; null has none."""
     return docs.select(docs[id_col].alias("doc_id"), F.posexplode(F.split(docs[text_col], "\n")).alias("line_no", "text"))
