@@ -306,16 +306,8 @@ def shared_box_pairs(spark, sf_dir):
     return shared_boxes(f)
 
 
-@query(f"WITH {LINES_SQL}, b AS (SELECT DISTINCT item_id, substr(c, i, 3) AS g FROM (SELECT item_id, {CANON.format('text')} AS c FROM benchmark), unnest(range(1, length(c) - 1)) AS u(i) WHERE item_id % 20 = 0), r AS (SELECT DISTINCT doc_id, line_no, substr(c, i, 3) AS g FROM (SELECT doc_id, line_no, {CANON.format('text')} AS c FROM lines), unnest(range(1, length(c) - 1)) AS u(i)), s AS (SELECT item_id, doc_id, line_no, count(*) AS shared FROM b JOIN r USING (g) GROUP BY ALL) SELECT item_id, doc_id, line_no::BIGINT AS row_ord, shared FROM s WHERE shared >= 60")
+@query(f"WITH {LINES_SQL}, b AS (SELECT DISTINCT item_id, substr(c, i, 3) AS g FROM (SELECT item_id, {CANON.format('text')} AS c FROM benchmark), unnest(range(1, length(c) - 1)) AS u(i)), r AS (SELECT DISTINCT doc_id, line_no, substr(c, i, 3) AS g FROM (SELECT doc_id, line_no, {CANON.format('text')} AS c FROM lines), unnest(range(1, length(c) - 1)) AS u(i)) SELECT item_id, doc_id, line_no::BIGINT AS row_ord, count(*) AS shared FROM b JOIN r USING (g) GROUP BY ALL UNION ALL SELECT item_id, doc_id, line_no, 0 FROM benchmark, lines WHERE item_id NOT IN (SELECT item_id FROM b)")
 def gram_prefilter(spark, sf_dir):
-    """A part of gram_prefilter_all that SQL can check: items with ids divisible by 20, and 60 shared grams; the rows are all lines."""
-    items = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
-    rows = L.lines_of(table(spark, sf_dir, "documents")).withColumnRenamed("line_no", "row_ord")
-    return M.gram_candidates(items, rows, 60).select("item_id", "doc_id", F.col("row_ord").cast("long").alias("row_ord"), "shared")
-
-
-@query()
-def gram_prefilter_all(spark, sf_dir):
     """All items and all lines that share a gram; items without one go with every line."""
     rows = L.lines_of(table(spark, sf_dir, "documents")).withColumnRenamed("line_no", "row_ord")
     return M.gram_candidates(table(spark, sf_dir, "benchmark"), rows).select("item_id", "doc_id", F.col("row_ord").cast("long").alias("row_ord"), "shared")
@@ -380,19 +372,42 @@ def table_cells(spark, sf_dir):
     return C.status_counts(TB.align_cells(cells, rows))
 
 
-@query()
+def order_documents(spark, sf_dir) -> DataFrame:
+    """Orders printed as small documents: doc_id, text, and the prints of their fields."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("doc_id")).agg(F.min("o_custkey").alias("c"), F.min("o_totalprice").cast("decimal(14,2)").alias("t"), F.min("o_orderdate").alias("d"))
+    o = o.withColumn("net", F.round(F.col("t") * F.lit(0.8).cast("decimal(2,1)"), 2).cast("decimal(14,2)")).withColumn("vat", (F.col("t") - F.col("net")).cast("decimal(14,2)"))
+    spaced = F.translate(F.format_number("t", 2), ",.", " ,")
+    later = F.date_add("d", 40)
+    o = o.select(
+        "doc_id", "d", F.concat(F.lit("INV-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("number"), F.date_format("d", "dd.MM.yyyy").alias("date"), F.concat(F.lit("Customer Holding "), F.col("c").cast("string")).alias("customer"),
+        F.col("net").cast("string").alias("net"), F.col("vat").cast("string").alias("vat"), F.col("t").cast("string").alias("total"), spaced.alias("spaced"), later.alias("later"), F.date_format(later, "dd.MM.yyyy").alias("sent"), F.date_format(later, "d MMMM yyyy").alias("came"),
+    )
+    lines = ["Invoice ", "number"], ["Date: ", "date"], ["", "customer"], ["Netto ", "net"], ["DPH ", "vat"], ["Total ", "spaced"], ["sent ", "sent"], ["came ", "came"]
+    text = F.concat_ws("\n", *[F.concat(F.lit(a), F.col(c)) for a, c in lines], F.lit("7 boxes"))
+    return o.withColumn("text", text)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS doc_id, min(o_custkey) AS c, min(o_totalprice)::DECIMAL(14,2) AS t, min(o_orderdate)::DATE AS d FROM orders GROUP BY 1),
+p AS (SELECT *, round(t * 0.8::DECIMAL(2,1), 2)::DECIMAL(14,2) AS net FROM o), f AS (
+SELECT doc_id, 'invoice_number' AS name, 'verified' AS status, 1.0 AS confidence, 'INV-' || lpad(doc_id::VARCHAR, 8, '0') AS evidence, NULL AS proof FROM p
+UNION ALL SELECT doc_id, 'invoice_date', 'verified', 1.0, strftime(d, '%d.%m.%Y'), NULL FROM p
+UNION ALL SELECT doc_id, 'customer_name', 'verified', 1.0, 'Customer Holding ' || c, NULL FROM p
+UNION ALL SELECT doc_id, 'subtotal', 'verified', 1.0, net::VARCHAR, 'arithmetic' FROM p
+UNION ALL SELECT doc_id, 'vat_amount', 'verified', 1.0, (t - net)::DECIMAL(14,2)::VARCHAR, 'arithmetic' FROM p
+UNION ALL SELECT doc_id, 'total', 'verified', 1.0, replace(replace(format('{:,.2f}', t::DOUBLE), ',', ' '), '.', ','), 'arithmetic' FROM p
+UNION ALL SELECT doc_id, 'shipped', 'ambiguous', 0.8, strftime(d + INTERVAL 40 DAY, '%d.%m.%Y'), NULL FROM p
+UNION ALL SELECT doc_id, 'pieces', 'low_confidence', 0.6, CASE WHEN t > 1000 AND t % 1000 = 7 THEN '007,00' ELSE '7' END, NULL FROM p
+UNION ALL SELECT doc_id, 'iban', 'not_present', 1.0, NULL, NULL FROM p
+UNION ALL SELECT doc_id, 'contract_number', 'not_found', 0.0, NULL, NULL FROM p)
+SELECT doc_id, name, status, confidence::DOUBLE AS confidence, evidence, proof FROM f""")
 def ground_orders(spark, sf_dir):
-    """The whole grounding: orders printed as small documents, and five asserted fields of each, one of them invented."""
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("doc_id")).agg(F.min("o_custkey").alias("c"), F.min("o_totalprice").cast("decimal(14,2)").cast("string").alias("total"), F.min("o_orderdate").alias("d"))
-    date = F.date_format("d", "dd.MM.yyyy")
-    number = F.concat(F.lit("INV-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
-    text = F.concat_ws("\n", F.concat(F.lit("Invoice "), number), F.concat(F.lit("Date: "), date), F.concat(F.lit("Customer Holding "), F.col("c").cast("string")), F.concat(F.lit("Total "), F.col("total")))
-    docs = o.select("doc_id", text.alias("text"))
-    pairs = F.array(*[F.struct(F.lit(k).alias("field_ord"), F.lit(n).alias("name"), v.alias("value")) for k, (n, v) in enumerate((("invoice_number", number), ("invoice_date", date), ("customer_name", F.concat(F.lit("Customer Holding "), F.col("c").cast("string"))), ("total", F.col("total")), ("contract_number", F.lit("ZZQX-7781-QQ"))))])
-    asserted = o.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*")
-    specs = S.preset(spark, "invoice").withColumn("anchors", F.when(F.col("name") == "total", F.array(F.lit("total"))))
-    r = ground(asserted, L.segments_of(docs), specs, year=F.lit(1996))
-    return r.groupBy("name", "status").agg(F.count("*").alias("n"))
+    """The whole grounding: ten asserted fields of each printed order; one is printed twice in different words, one invented, one empty, one a bare digit."""
+    o = order_documents(spark, sf_dir)
+    asked = {"invoice_number": F.col("number"), "invoice_date": F.date_format("d", "yyyy-MM-dd"), "customer_name": F.col("customer"), "subtotal": F.col("net"), "vat_amount": F.col("vat"), "total": F.col("total"), "shipped": F.date_format("later", "yyyy-MM-dd"), "pieces": F.lit("7"), "iban": F.lit(None).cast("string"), "contract_number": F.lit("ZZQX-7781-QQ")}
+    pairs = F.array(*[F.struct(F.lit(k).alias("field_ord"), F.lit(n).alias("name"), v.alias("value")) for k, (n, v) in enumerate(asked.items())])
+    specs = S.preset(spark, "invoice").unionByName(spark.sql("SELECT 'pieces' name, 'number' ftype"))
+    r = ground(o.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*"), L.segments_of(o), specs, year=F.lit(1996))
+    return r.select("doc_id", "name", "status", F.round("confidence", 6).alias("confidence"), "evidence", "proof")
 
 
 @query("SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) >= 5 AND length(regexp_replace(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:400], ''), '[^\\p{L}\\p{N}]', '', 'g')) >= 0.3 * length(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:400], '')) AS sane FROM documents")
@@ -458,13 +473,10 @@ def similar_names(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_ingest(spark, sf_dir):
     """Events through a stream to a table and back."""
-    import tempfile
-    import uuid
-
     from ..streaming.ingest import drain
+    from .store import shared_path
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    to = f"{base}/tracewell-stream-{uuid.uuid4().hex}"
+    to = shared_path(spark, "stream")
     kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     drain(spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_dir(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parquet"), f"{to}/out", f"{to}/state")
     return spark.read.parquet(f"{to}/out").groupBy("event_type").agg(F.count("*").alias("n"))

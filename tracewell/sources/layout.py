@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, layer_is_sane
@@ -19,15 +19,10 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def segments_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Plain text on the grid, a segment a word: doc_id, page, seg_ord, text, x0, top, x1, bottom, conf."""
     lines = lines_of(docs, id_col, text_col)
-    words = lines.select("doc_id", "line_no", F.split("text", " ").alias("w"))
-    at = F.aggregate(
-        "w",
-        F.struct(F.lit(0).alias("x"), F.expr("cast(array() as array<int>)").alias("out")),
-        lambda s, w: F.struct((s["x"] + F.length(w) + 1).alias("x"), F.concat(s["out"], F.array(s["x"])).alias("out")),
-        lambda s: s["out"],
-    )
-    placed = words.withColumn("x", at).select("doc_id", "line_no", F.posexplode(F.arrays_zip("w", "x")).alias("k", "s")).select("doc_id", "line_no", "k", F.col("s.w").alias("text"), F.col("s.x").alias("x")).where("text <> ''")
-    return placed.select("doc_id", F.lit(0).alias("page"), (F.col("line_no").cast("long") * 100000 + F.col("k")).alias("seg_ord"), "text", (F.col("x") * CHAR).alias("x0"), (F.col("line_no") * LINE).alias("top"), ((F.col("x") + F.length("text")) * CHAR).alias("x1"), (F.col("line_no") * LINE + HEIGHT).alias("bottom"), F.lit(1.0).alias("conf"))
+    words = lines.select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("k", "text"))
+    before = Window.partitionBy("doc_id", "line_no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = words.withColumn("x", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where("text <> ''")
+    return placed.select("doc_id", F.lit(0).alias("page"), (F.col("line_no").cast("long") * (1 << 32) + F.col("k")).alias("seg_ord"), "text", (F.col("x") * CHAR).alias("x0"), (F.col("line_no") * LINE).alias("top"), ((F.col("x") + F.length("text")) * CHAR).alias("x1"), (F.col("line_no") * LINE + HEIGHT).alias("bottom"), F.lit(1.0).alias("conf"))
 
 
 def routes(pages: DataFrame, text_col: str = "text") -> DataFrame:
