@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +20,24 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 def hold(name: str, clear: Callable[[], None] | None = None) -> None:
     """A worker process serves this operator from now on. What other operators keep in it is dropped, so that a reused worker has one cache at a time."""
-    for other in [k for k in _HELD if k != name]:
+    others = [k for k in _HELD if k != name]
+    for other in others:
         _HELD.pop(other)()
+    if others:
+        give_back()
     if clear:
         _HELD[name] = clear
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, which allocators would keep for later; a worker lives on beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir; where that is unset, as in tests, an own one."""
     sc = spark.sparkContext
@@ -42,6 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as a compressed table in the shared folder; for wide intermediate results, which a checkpoint would keep as plain rows."""
+    to = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from itertools import filterfalse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -258,13 +257,12 @@ def identify(docs: DataFrame, net: BiGRU, id_col: str = "doc_id", text_col: str
 def keep_languages(docs: DataFrame, net: BiGRU, least: float = LEAST_SCORE, text_col: str = "text", sharp: float = 8.0) -> DataFrame:
     """docs whose language is recognised with a score of at least `least`; all columns stay. Nothing is shuffled."""
 
-    @F.pandas_udf("boolean")
-    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in texts:
-            column = pa.array(some, pa.string())
+    @F.arrow_udf("boolean")
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
             ids = pa.nulls(len(column), pa.int64())
-            said = [b for b in _predict(iter([pa.RecordBatch.from_arrays([ids, ids, column], ["doc_id", "held_out", "text"])]), net, sharp)]
-            yield pd.Series([p != UNKNOWN and s >= least for b in said for p, s in zip(b.column("lang_pred").to_pylist(), b.column("score").to_pylist(), strict=True)], dtype=bool)
+            said = _predict(iter([pa.RecordBatch.from_arrays([ids, ids, column], ["doc_id", "held_out", "text"])]), net, sharp)
+            yield pa.array([p != UNKNOWN and s >= least for b in said for p, s in zip(b.column("lang_pred").to_pylist(), b.column("score").to_pylist(), strict=True)], pa.bool_())
 
     return docs.where(known(docs[text_col].cast("string")))
 

@@ -11,10 +11,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words kept by a worker; beyond, all but the last ones are forgotten, and encoded again when they come.
-CACHE_UNITS = 1_400_000
+CACHE_UNITS = 1_200_000
 #: Units that the library encodes as one text, a line each.
 JOINED = 512
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -167,6 +169,7 @@ class Encoder:
         """(ids, ends): the ids of all texts one behind the other, each with the id `end` behind it, and where each text's end. Null is the empty text."""
         if len(self.words) > CACHE_UNITS:
             self.clear()
+            give_back()
         texts = texts.cast(pa.string()).fill_null("")
         split = pc.split_pattern(texts, " ")
         cuts = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
@@ -190,7 +193,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batch, text_col: str = "text", n_bytes: int = 8_000_000):
+def slices(batch, text_col: str = "text", n_bytes: int = 4_000_000):
     """(first row, texts) of slices of an Arrow batch with about so many bytes of text each."""
     column, k = batch.column(text_col), 0
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
