@@ -208,6 +208,29 @@ def test_suffix_dedup_of_nothing(spark, empty):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(short).collect()) == [(1, 1, 0, b"a"), (2, 0, 0, b""), (2, 1, 0, b"a")]
 
 
+def test_suffix_dedup_blocks_are_bounded_whatever_the_splits(spark):
+    docs = spark.range(400).select("id", F.repeat(F.lit("0123456789"), 100).alias("text")).withColumnRenamed("id", "doc_id")
+    for splits in (1, 3, 40):
+        name = f"blocks_of_{splits}"
+        assert suffix_dedup._into_blocks(docs.coalesce(1) if splits == 1 else docs.repartition(splits), name, 20_000) == 20
+        sizes = [r.n for r in spark.table(name).groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+        assert sum(sizes) == 400_000 and len(sizes) >= 18 and max(sizes) <= 50_000
+
+
+def test_suffix_dedup_keeps_equal_strings_of_hot_anchors_once():
+    import pyarrow as pa
+
+    text = "".join(random.Random(3).choices("abcdefgh ", k=400))
+    block = suffix_dedup.Block.of(pa.table({"doc_id": pa.array([*range(30)]), "text": [text] * 30, "block": pa.array([0] * 30, pa.int32())}))
+    h, _, _ = suffix_dedup.anchors(block.data, block.ends)
+    marks = pa.table({"kind": pa.array([0], pa.int32()), "data": pa.array([suffix_dedup._pack(np.unique(h) << np.uint64(8) | np.uint64(1))], pa.binary())})
+    c = suffix_dedup.Contexts.of(block, marks)
+    own = c.texts.to_pylist()
+    assert len(own) == len(set(own)) == 351 and (np.diff(c.keys.astype(np.int64)) >= 0).all() and (c.least == 0).all()
+    assert len(c.at) == 30 * 351 and all(bytes(block.data[a : a + 50]) == own[k] for a, k in zip(c.at.tolist(), c.code.tolist(), strict=True))
+    assert (np.bincount(c.row) == 351).all()
+
+
 def test_decontaminate(spark, docs, empty):
     words = " ".join(f"w{k}" for k in range(14))
     items = spark.createDataFrame([(1, words), (10, "Short Item"), (2, None), (3, "!!")], "item_id long, text string")

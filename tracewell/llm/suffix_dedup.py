@@ -13,15 +13,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, table
+from .common import cut, give_back, scratch, table
 
 LENGTH, ANCHOR = 50, 20
 #: Bytes of text that a step of numpy works on, and of a block of documents, about.
-STEP, BLOCK_BYTES = 2_000_000, 16_000_000
+STEP, BLOCK_BYTES = 1_000_000, 16_000_000
 #: An anchor in more documents than this is hot: its strings are dealt each by its own hash.
 HOT = 2000
 #: Symbols that are sorted together; strings of which fewer than ALONGSIDE are alike long, or of more than LONG symbols, are sorted one by one.
 SORTED, ALONGSIDE, LONG = 300_000, 64, 20_000
+#: Contexts of a block are told apart in 2 ** PARTS ranges of their keys.
+PARTS = 4
 LAST = np.iinfo(np.int64).max
 
 
@@ -314,7 +316,6 @@ class Block(NamedTuple):
     """A block's documents, ordered by id and text, so that each pass sees the same."""
 
     ids: np.ndarray  # LAST for null
-    texts: pa.Array
     data: np.ndarray  # all texts' bytes
     ends: np.ndarray
 
@@ -323,9 +324,8 @@ class Block(NamedTuple):
         t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")]))
         texts = t.column("text").cast(pa.large_string()).combine_chunks().cast(pa.large_binary())
         texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
-        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
         ids = t.column("doc_id").fill_null(LAST).to_numpy().astype(np.int64)
-        return cls(ids, texts, np.frombuffer(b"".join(texts.to_pylist()), "u1"), ends)
+        return cls(ids, *_bytes_of(texts))
 
     def steps(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, first byte, bytes, ends) of some documents at a time, about STEP bytes."""
@@ -351,12 +351,18 @@ def _number(t: pa.Table) -> int:
     return t.column("block")[0].as_py()
 
 
-def _dealt(t: pa.Table, keys: np.ndarray, n_buckets: int, columns: dict[str, tuple]) -> pa.Table:
-    """A row for each bucket of the ascending 40-bit keys; columns: bytes of slices of arrays, by name (array, function of a slice)."""
+def _dealt(number: int, keys: np.ndarray, n_buckets: int, columns: dict[str, tuple]) -> pa.Table:
+    """A row for each bucket of the ascending 40-bit keys; columns: the bytes of each bucket's keys, by name (all bytes, where each key's begin and the last's end)."""
     cuts = np.searchsorted((keys * np.uint64(n_buckets)) >> np.uint64(40), np.arange(n_buckets + 1))
-    used = [b for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
-    out = {"bucket": pa.array(used, pa.int32()), "block": pa.array([_number(t)] * len(used), pa.int32())}
-    return pa.table(out | {c: pa.array([pack(a, cuts[b], cuts[b + 1]) for b in used], pa.binary()) for c, (a, pack) in columns.items()})
+    used = np.flatnonzero(cuts[1:] > cuts[:-1])
+    out = {"bucket": pa.array(used, pa.int32()), "block": pa.array([number] * len(used), pa.int32())}
+    for c, (data, starts) in columns.items():
+        at = starts[np.append(cuts[used], cuts[-1])]
+        if at[-1] < 1 << 31:
+            out[c] = pa.BinaryArray.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+        else:
+            out[c] = pa.chunked_array([pa.array([memoryview(data)[a:b]], pa.binary()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+    return pa.table(out)
 
 
 def _block_anchors(t: pa.Table, n_buckets: int) -> pa.Table:
@@ -367,7 +373,8 @@ def _block_anchors(t: pa.Table, n_buckets: int) -> pa.Table:
         found.append(_distinct(h, k + np.searchsorted(ends, first, "right")))
     h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
     packed = h << np.uint64(8) | np.minimum(255, 16 * np.log2(n)).astype(np.uint64)
-    return _dealt(t, h, n_buckets, {"data": (packed, lambda a, x, y: _pack(a[x:y]))})
+    give_back()
+    return _dealt(_number(t), h, n_buckets, {"data": (_pack(packed), 6 * np.arange(len(h) + 1))})
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -397,7 +404,7 @@ class Contexts(NamedTuple):
     row: np.ndarray  # of each run
     at: np.ndarray  # its place in the block's bytes
     code: np.ndarray  # its context's number
-    texts: pa.Array  # the distinct contexts
+    texts: pa.Array  # the distinct contexts, ascending by their keys
     keys: np.ndarray  # where each is dealt: its anchor, or its own hash if the anchor is hot
     least: np.ndarray  # the smallest doc_id of the block that has it
 
@@ -406,7 +413,7 @@ class Contexts(NamedTuple):
         packed = [_unpack(d.as_py()) for d, kind in zip(marks.column("data"), marks.column("kind").to_pylist(), strict=True) if kind == 0]
         packed = np.sort(np.concatenate([np.zeros(0, np.uint64), *packed]))
         repeated, hot = packed >> np.uint64(8), (packed & np.uint64(1)) > 0
-        rows, places, keys, found = [], [], [], []
+        rows, places, codes, keys, found = [], [], [], [], []
         for k, start, data, ends in block.steps():
             h, first, last = anchors(data, ends)
             nth = np.searchsorted(repeated, h)
@@ -418,39 +425,69 @@ class Contexts(NamedTuple):
                 own = np.repeat(first[each], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 h = np.concatenate([h[~each], _gram_hash(data, LENGTH)[own] >> np.uint64(24)])
                 first, last = np.concatenate([first[~each], own]), np.concatenate([last[~each], own])
-            size = last + LENGTH - first
-            upto = np.cumsum(size)
-            own = data[np.repeat(first - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
-            found.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], upto]).astype(np.int64)), pa.py_buffer(own)]))
-            rows.append(k + np.searchsorted(ends, first, "right"))
+            # a step's distinct ones only are kept: strings of hot anchors are many, and mostly equal
+            coded = _slices(data, first, last + LENGTH).dictionary_encode()
+            code = coded.indices.to_numpy()
+            key = np.zeros(len(coded.dictionary), np.uint64)
+            key[code] = h
+            found.append(coded.dictionary)
+            keys.append(key)
+            codes.append(code)
+            rows.append((k + np.searchsorted(ends, first, "right")).astype(np.int32))
             places.append(start + first)
-            keys.append(h)
-        join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
-        row, at, key = join(rows, np.int64), join(places, np.int64), join(keys, np.uint64)
-        coded = pa.concat_arrays([pa.array([], pa.large_binary()), *found]).dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        of_key, least = np.zeros(len(coded.dictionary), np.uint64), np.full(len(coded.dictionary), LAST)
-        of_key[code] = key
+        # equal contexts have equal keys, so a range of keys at a time tells them apart
+        texts, of_key, n = [pa.array([], pa.large_binary())], [np.zeros(0, np.uint64)], 0
+        numbers = [np.empty(len(x), np.int32) for x in keys]
+        for part in range(1 << PARTS):
+            some = [np.flatnonzero(x >> np.uint64(40 - PARTS) == np.uint64(part)) for x in keys]
+            coded = pa.concat_arrays([texts[0], *(d.take(pa.array(x)) for d, x in zip(found, some, strict=True))]).dictionary_encode()
+            own, which = np.zeros(len(coded.dictionary), np.uint64), coded.indices.to_numpy()
+            own[which] = np.concatenate([of_key[0], *(x[y] for x, y in zip(keys, some, strict=True))])
+            order = np.argsort(own, kind="stable")
+            rank = np.empty(len(own), np.int32)
+            rank[order] = np.arange(n, n + len(own), dtype=np.int32)
+            for x, y, to in zip(numbers, some, np.split(rank[which], np.cumsum([len(y) for y in some])[:-1]), strict=True):
+                x[y] = to
+            texts.append(coded.dictionary.take(pa.array(order)))
+            of_key.append(own[order])
+            n += len(own)
+        del found, coded
+        row, code = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (rows, (x[y] for x, y in zip(numbers, codes, strict=True))))
+        least = np.full(n, LAST)
         np.minimum.at(least, code, block.ids[row])
-        return cls(row, at, code, coded.dictionary, of_key, least)
+        return cls(row, np.concatenate([np.zeros(0, np.int64), *places]), code, pa.concat_arrays(texts), np.concatenate(of_key), least)
+
+
+def _slices(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes from each first to its end, as a binary array."""
+    size = end - first
+    upto = np.concatenate([[0], np.cumsum(size)])
+    own = np.empty(int(upto[-1]), "u1")
+    for k in range(0, len(first), 20_000):
+        n = size[k : k + 20_000]
+        at = upto[k : k + len(n) + 1]
+        own[at[0] : at[-1]] = data[np.repeat(first[k : k + len(n)] - at[:-1], n) + np.arange(at[0], at[-1])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(own)])
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, ends) of a binary array."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
-    return np.frombuffer(b"".join(texts.to_pylist()), "u1"), ends
+    """(bytes, ends) of a large binary array without nulls; the bytes are not copied."""
+    if not len(texts):
+        return np.zeros(0, "u1"), np.zeros(0, np.int64)
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data or b"", "u1")[at[0] : at[-1]], at[1:] - at[0]
 
 
 def _block_contexts(t: pa.Table, marks: pa.Table, n_buckets: int) -> pa.Table:
     """Per bucket the distinct contexts of a block's repeated anchors, each with its number and the least doc_id."""
-    c = Contexts.of(Block.of(t), marks)
-    order = np.argsort(c.keys, kind="stable")
-    data, ends = _bytes_of(c.texts.take(pa.array(order)))
+    *_, texts, keys, least = Contexts.of(Block.of(t), marks)
+    data, ends = _bytes_of(texts)
     starts = np.concatenate([[0], ends])
-    raw = lambda kind: lambda a, x, y: a[x:y].astype(kind).tobytes()
-    keys = c.keys[order]
-    columns = {"keys": (keys, raw("<u8")), "texts": (data, lambda a, x, y: a[starts[x] : starts[y]].tobytes()), "sizes": (np.diff(starts), raw("<u4")), "codes": (order, raw("<u4")), "least": (c.least[order], raw("<i8"))}
-    return _dealt(t, keys, n_buckets, columns)
+    give_back()
+    raw = lambda a, kind: (a.astype(kind).view("u1"), np.arange(len(a) + 1) * np.dtype(kind).itemsize)
+    columns = {"keys": raw(keys, "<u8"), "texts": (data, starts), "sizes": raw(np.diff(starts), "<u4"), "codes": raw(np.arange(len(keys)), "<u4"), "least": raw(least, "<i8")}
+    return _dealt(_number(t), keys, n_buckets, columns)
 
 
 CONTEXTS = "bucket int, block int, keys binary, texts binary, sizes binary, codes binary, least binary"
@@ -507,56 +544,65 @@ def _cut_out(t: pa.Table, marks: pa.Table, texts: bool) -> pa.Table:
     c = Contexts.of(block, marks)
     spans = np.frombuffer(b"".join(d.as_py() for d, kind in zip(marks.column("data"), marks.column("kind").to_pylist(), strict=True) if kind == 1), _SPAN)
     spans = spans[np.argsort(spans["code"], kind="stable")]
+    c, size = c._replace(texts=None), pc.binary_length(c.texts).to_numpy().astype(np.int32)
     own = block.ids[c.row]
     whole = np.flatnonzero(c.least[c.code] < own)  # the block itself has a smaller one
-    rows, first, last = [c.row[whole]], [c.at[whole]], [c.at[whole] + pc.binary_length(c.texts).to_numpy().astype(np.int64)[c.code[whole]]]
     part = np.flatnonzero(c.least[c.code] == own)
+    del own
+    first, last = [c.at[whole]], [c.at[whole] + size[c.code[whole]]]
     lead, end = (np.searchsorted(spans["code"], c.code[part], side) for side in ("left", "right"))
     n = end - lead
     which = np.repeat(lead - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-    part = np.repeat(part, n)
-    rows.append(c.row[part])
-    first.append(c.at[part] + spans["at"][which])
+    first.append(np.repeat(c.at[part], n) + spans["at"][which])
     last.append(first[1] + spans["n"][which] + (LENGTH - 1))
-    row, a, b = (np.concatenate(x).astype(np.int64) for x in (rows, first, last))
-    order = np.lexsort((a, row))
-    row, a, b = row[order], a[order], np.maximum.accumulate(b[order])
+    del c, spans, whole, part, lead, end, n, which
+    a, b = np.concatenate(first), np.concatenate(last)
+    del first, last
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    del order
+    row = np.searchsorted(block.ends, a, "right").astype(np.int32)  # documents stand one behind the other
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (a[1:] > b[:-1])
     lead = np.flatnonzero(new)
     row, a, b = row[lead], a[lead], b[np.append(lead[1:], len(b))[: len(lead)] - 1]
     cuts = np.searchsorted(row, np.arange(len(block.ids) + 1)).tolist()
-    data, starts = memoryview(block.data.tobytes()), np.concatenate([[0], block.ends])
-    out: list[bytes] = []
+    data, starts = memoryview(block.data), np.concatenate([[0], block.ends])
+    size, left, digests, out = np.diff(block.ends, prepend=0), [], [], []
     for k, (x, y) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-        if cuts[k] == cuts[k + 1]:
-            out.append(bytes(data[x:y]))
-        else:
-            kept, upto = [], x
-            for p, q in zip(a[cuts[k] : cuts[k + 1]].tolist(), b[cuts[k] : cuts[k + 1]].tolist(), strict=True):
-                kept.append(data[upto:p])
-                upto = q
-            out.append(b"".join([*kept, data[upto:y]]))
-    size = np.diff(block.ends, prepend=0)
+        kept, upto = [], x
+        for p, q in zip(a[cuts[k] : cuts[k + 1]].tolist(), b[cuts[k] : cuts[k + 1]].tolist(), strict=True):
+            kept.append(data[upto:p])
+            upto = q
+        rest = b"".join([*kept, data[upto:y]])
+        left.append(len(rest))
+        digests.append(hashlib.sha256(rest).hexdigest())
+        out.append(rest if texts else None)
+    give_back()
     return pa.table({
-        "doc_id": pa.array(block.ids, mask=block.ids == LAST), "n_bytes": size, "n_removed": size - np.array([len(x) for x in out], np.int64), "n_spans": np.diff(cuts),
-        "kept_sha256": [hashlib.sha256(x).hexdigest() for x in out], "kept": pa.array(out if texts else [None] * len(out), pa.binary()),
+        "doc_id": pa.array(block.ids, mask=block.ids == LAST), "n_bytes": size, "n_removed": size - np.array(left, np.int64), "n_spans": np.diff(cuts),
+        "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(out, pa.binary()),
     })
 
 
 def _into_blocks(base: DataFrame, name: str, block_bytes: int) -> int:
     """Write (doc_id, text) as a table bucketed by block and return how many blocks there are.
 
-    A block is what some input splits hold, about block_bytes; documents stay in the task that read them. Its number
+    A block holds about block_bytes, however many the input splits are: the bytes of all splits in a row are cut into
+    blocks, and the documents of a split are dealt by chance over the blocks that its bytes fall into. A block's number
     is one that Spark's hash puts into the bucket meant, so no text is shuffled, now or when the table is read.
     """
     spark = base.sparkSession
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
+    sizes = {r.split: r.size for r in base.select(F.spark_partition_id().alias("split"), F.octet_length("text").alias("size")).groupBy("split").agg(F.sum("size").alias("size")).collect()}
+    n = max(1, -(-sum(sizes.values()) // block_bytes))
     ids = F.col("id").cast("int")
     found = spark.range(64 * n).groupBy(F.pmod(F.hash(ids), F.lit(n)).alias("bucket")).agg(F.min(ids).alias("block")).orderBy("bucket")
     numbers = F.array(*[F.lit(r.block) for r in found.collect()])  # one for each block
-    dealt = base.withColumn("block", F.get(numbers, F.spark_partition_id() % F.lit(n)))
+    own = np.array([sizes.get(k, 0) for k in range(max(sizes, default=0) + 1)], np.float64) / block_bytes
+    of_split = lambda x, other: F.coalesce(F.get(F.array(*map(F.lit, x.tolist())), F.spark_partition_id()), F.lit(other))
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(1 << 30)
+    place = F.floor(of_split(np.cumsum(own) - own, 0.0) + of_split(own, float(n)) * chance).cast("int")
+    dealt = base.withColumn("block", F.get(numbers, F.least(place, F.lit(n - 1))))
     dealt.write.bucketBy(n, "block").option("compression", "zstd").format("parquet").saveAsTable(name, path=scratch(spark, name))
     return n
 
