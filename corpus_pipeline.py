@@ -23,7 +23,7 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that links of 0.8 or more in the Jaccard similarity of five-word shingles join, the smallest doc_id stays."""
+    """Operator 8's fingerprints and index, on five-word shingles, and an exact join for what they miss: of texts that links of 0.8 or more in the Jaccard similarity of these shingles join, the smallest doc_id stays."""
     return near_copies.drop_near_copies(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of their word shingles, found exactly by a prefix filter."""
+"""Near copies by the Jaccard similarity of their word shingles, found by SimHash's Gray-order index and, where that misses some, exactly by a prefix filter."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, hold, parts, written
-from .simhash import SEED, keep_first
+from .simhash import SEED, keep_first, majorities, near_links
 from .tokens import batches
 
 #: Words of a shingle; similarity, as a fraction, from which texts are near copies.
@@ -21,6 +21,8 @@ SAMPLE, LEAST, COMMON = 16, 4, 1_000_000
 #: Rows of a partition that are looked at together (but whole buckets), and pairs of rows.
 HELD, STEP = 200_000, 2_000_000
 
+#: More than any sets share: a pair that is looked at in any case.
+LOOK = 1 << 40
 PAIRS = "u long, v long, shared long, due long"
 #: Rows (h, node, n, pos) and pairs (u, v, shared, due) in one table.
 FIRST_PASS = "pair boolean, a long, b long, c long, d long"
@@ -135,13 +137,25 @@ def _verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
+def close_pairs(prints: DataFrame) -> DataFrame:
+    """Of prints(node, fp) the pairs that operator 8 links: nodes whose fingerprints its Gray-order index joins, each with the smallest node of its fingerprint, and these."""
+    nodes = prints.select("node", "fp").distinct()
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    links = near_links(first.select("fp"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    across = links.distinct().join(of("u"), "u").join(of("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    pairs = nodes.join(first, "fp").select(F.col("node").alias("u"), F.col("first").alias("v")).unionByName(across)
+    return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, text_hash, group, alike for texts that links of similarity ALIKE / OF or more of their sets of SHINGLE-word shingles join.
 
-    Two such sets share due() of their prefixes' shingles; rows of a shared shingle are a bucket. Its rows are held
-    against its smallest one first, and only those that this leaves in different components against each other, so a
-    large group of near copies doesn't make all its pairs. Each pair is confirmed on the whole sets. Equal sets are one
-    node. Null and empty texts are alike.
+    Sets whose SimHash fingerprints operator 8's index links are looked at first; it finds few of such pairs, most of
+    which differ in more bits. Two such sets share due() of their prefixes' shingles; rows of a shared shingle are a
+    bucket. Its rows are held against its smallest one first, and only those that these steps leave in different
+    components against each other, so a large group of near copies doesn't make all its pairs. Each pair is confirmed on
+    the whole sets. Equal sets are one node. Null and empty texts are alike.
     """
     spark = docs.sparkSession
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -167,9 +181,9 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 first = [prefix(x, common.value).view(np.int64) for x in own]
                 some = [batch.column(c).slice(k, len(texts)) for c in ("doc_id", "text_hash")]
                 at = np.cumsum([0, *map(len, first)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*some, pa.array(node), pa.array(np.array([len(x) for x in own], np.int32)), pa.ListArray.from_arrays(at, np.concatenate(first))], ["doc_id", "text_hash", "node", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([*some, pa.array(node), pa.array(majorities(own).view(np.int64)), pa.array(np.array([len(x) for x in own], np.int32)), pa.ListArray.from_arrays(at, np.concatenate(first))], ["doc_id", "text_hash", "node", "fp", "n", "prefix"])
 
-    prints = written(base.mapInArrow(sets, "doc_id long, text_hash long, node long, n int, prefix array<long>"), "prints")
+    prints = written(base.mapInArrow(sets, "doc_id long, text_hash long, node long, fp long, n int, prefix array<long>"), "prints")
     deal = lambda rows: rows.repartition(parts(spark), "h").sortWithinPartitions("h")
     # equal sets are one node; the few of them are found without their prefixes
     equal = prints.groupBy("node").agg(F.count("*").alias("k"), F.min(F.struct("text_hash", "doc_id")).alias("first")).where("k > 1")
@@ -194,7 +208,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         both = pairs.join(own.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
         return cut(both.select("u", "v", "a", "b").mapInArrow(_verified, "u long, v long"))
 
-    links = verified(stars)
+    links = verified(stars.unionByName(close_pairs(prints).select("u", "v", F.lit(LOOK).alias("shared"), F.lit(0).cast("long").alias("due"))))
     parted = rows.join(connected_components(links).withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("h", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
     links = links.unionByName(verified(deal(parted).mapInArrow(_crossings, PAIRS)))
     groups = cut(connected_components(links))

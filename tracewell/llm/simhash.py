@@ -27,14 +27,17 @@ def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) ->
 
     digest = partial(xxhash.xxh64_intdigest, seed=seed)
     hashes: list[np.ndarray] = []
-    sizes = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
+    for text in texts:
         w = text.encode().lower().split()  # of bytes: A-Z only, and white space is 20 and 09 to 0D
         grams = [b" ".join(w)] if 0 < len(w) < shingle else map(b" ".join, zip(*[w[k:] for k in range(shingle)], strict=False))
-        h = np.fromiter(map(digest, grams), np.uint64)
-        sizes[i] = len(h)
-        hashes.append(h)
-    out = np.zeros(len(texts), np.uint64)
+        hashes.append(np.fromiter(map(digest, grams), np.uint64))
+    return majorities(hashes)
+
+
+def majorities(hashes: list[np.ndarray]) -> np.ndarray:
+    """For each array of hashes the bits that are set in over half of them."""
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    out = np.zeros(len(hashes), np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
         data, starts = np.concatenate(hashes), (np.cumsum(sizes) - sizes)[some]
