@@ -29,6 +29,18 @@ def test_cached_encoding_is_whole_encoding(encoder):
     assert ids.tolist() == [7, *encoder._whole("a").tolist(), 7, 7] and ends.tolist() == [1, 3, 4]
 
 
+def test_words_met_again_outlast_a_full_cache():
+    small = Encoder(public_tokenizers.path("byte_bpe_50k.json"), 100)
+    texts = [" ".join(["common words, and more", *(f"once{k}x{j} é{j}." for j in range(40))]) for k in range(12)]
+    for k, text in enumerate(texts):
+        ids, ends = small.encode(pa.array([text, None]), 0)
+        whole = small.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == [*whole, 0, 0] and ends.tolist() == [len(whole) + 1, len(whole) + 2]
+        assert len(small.words) <= 100 + 90 and (k < 2 or {"words,", "and", "more"} <= set(small.words))
+    small.forget()
+    assert {"words,", "and", "more"} <= set(small.words) and not any(w.startswith("once") for w in small.words)
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(1)
     for n in (1, 2, 50, 5000):

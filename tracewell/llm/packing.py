@@ -16,6 +16,8 @@ from .common import cut, hold, parts, table
 from .tokens import encoder, slices
 
 CAPACITY, END_ID = 2048, 0
+#: Words kept by a worker: fewer than the tokenizer's own limit, since in the pipeline the executor's memory is full from the stages before.
+WORDS = 700_000
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: A pattern: the lengths of one sequence and how many each, and the number of sequences that look so.
@@ -24,7 +26,7 @@ Pattern = tuple[dict[int, int], int]
 
 def _pieces(it: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     hold("tokens", encoder.cache_clear)
-    enc = encoder(path)
+    enc = encoder(path, WORDS)
     for batch in it:
         own = batch.column("doc_id").to_pylist()
         for k, texts in slices(batch):
