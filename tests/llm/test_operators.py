@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,75 @@ def test_near_copies_against_brute_force(spark, empty, monkeypatch):
     assert near_copies.drop_near_copies(empty).count() == 0
 
 
+def _group_about_one_similarity(n):
+    """Texts of one base in which every few words another stands: some pairs are alike, most nearly."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    return [" ".join(rng.choice("abcdefgh") * 3 if rng.random() < 0.01 * (1 + k % 3) else w for w in base) for k in range(n)]
+
+
+def test_crossings_of_a_large_group_make_no_more_rows_than_it_has():
+    sets = near_copies.shingle_sets(sorted(set(_group_about_one_similarity(700))))
+    prefixes = [near_copies.prefix(s, np.zeros(0, np.uint64)).view(np.int64) for s in sets]
+    rows = sorted((int(h), k, len(sets[k]), pos, k) for k, p in enumerate(prefixes) for pos, h in enumerate(p))
+    read = lambda rows, names: [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)]
+    torn = pa.Table.from_batches(near_copies._torn(iter(read(rows, ["h", "node", "n", "pos", "comp"])))).to_pylist()
+    buckets = {}
+    for h, k, *_ in rows:
+        buckets.setdefault(h, set()).add(k)
+    assert {(r["h"], r["node"]) for r in torn} == {(h, k) for h, b in buckets.items() if len(b) > 1 for k in b}
+
+    def crossed(comp, first):
+        members = {(r["key"], r["node"]) for r in torn}
+        t = [(key, True, 0, k, len(sets[k]), 0, comp[k], near_copies.sketch(sets[k]).tobytes()) for key, k in members]
+        t += [(r["key"], False, r["h"], r["node"], r["n"], r["pos"], 0, b"") for r in torn]
+        names = ["key", "member", "h", "node", "n", "pos", "comp", "sketch"]
+        return [(r["u"], r["v"], r["shared"], r["due"]) for b in near_copies._crossings(iter(read(sorted(t, key=lambda x: x[0]), names)), first) for r in b.to_pylist()]
+
+    alike = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if near_copies.alike(sets[i], sets[j])}
+    assert 10 * len(sets) < len(alike) < len(sets) ** 2 / 8
+    found = {}
+    for u, v, shared, due in crossed(range(len(sets)), False):
+        n, _ = found.get((u, v), (0, 0))
+        found[u, v] = n + shared, due
+    assert alike <= {p for p, (shared, due) in found.items() if shared >= due}
+    comp = np.arange(len(sets))
+    for first in (True, True, False):
+        links = crossed(comp, first)
+        assert len(links) <= len(torn) / 4
+        good = np.array([(u, v) for u, v, _, _ in links if (u, v) in alike], int).reshape(-1, 2)
+        simhash.link(comp, good[:, 0], good[:, 1])
+        comp = simhash.roots_of(comp, np.arange(len(sets)))
+    want = np.arange(len(sets))
+    simhash.link(want, *np.array(sorted(alike)).T)
+    assert comp.tolist() == simhash.roots_of(want, np.arange(len(sets))).tolist()
+
+
+def test_sketches_never_part_alike_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 9, 505, 515, 1030, 5000):
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) - len(a) // 10], rng.integers(0, 2**64, len(a) // 20, np.uint64)]))
+        far = near_copies.Sketches([near_copies.sketch(x) for x in (a, b)]).differ(np.array([0]), np.array([1]))[0]
+        assert 0 <= far <= len(np.setxor1d(a, b)) and near_copies.near_enough(len(a), len(b), far)
+        c = rng.integers(0, 2**64, n, np.uint64)
+        far = near_copies.Sketches([near_copies.sketch(x) for x in (a, c)]).differ(np.array([0]), np.array([1]))[0]
+        assert far and (n < 9 or not near_copies.near_enough(len(a), len(c), far))
+
+
+def test_near_copies_of_a_large_group_against_brute_force(spark, monkeypatch):
+    texts = _group_about_one_similarity(150)
+    sets, root = near_copies.shingle_sets(texts), np.arange(150)
+    pairs = [(i, j) for i in range(150) for j in range(i) if near_copies.alike(sets[i], sets[j])]
+    simhash.link(root, *np.array(pairs).T)
+    want = sorted(set(simhash.roots_of(root, np.arange(150)).tolist()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 1 < len(want) < 140
+    for rounds in (2, 0):
+        monkeypatch.setattr(near_copies, "FORESTS", rounds)
+        assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == want
+
+
 def test_pipeline_drops_near_copies_of_many_bits(spark):
     import corpus_pipeline
 
