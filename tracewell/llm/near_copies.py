@@ -22,7 +22,9 @@ SAMPLE, LEAST, COMMON = 16, 4, 1_000_000
 HELD, STEP = 200_000, 2_000_000
 
 #: Bits of the smallest sketch. Rows of a bucket above which its smallest node's buckets are dealt in SLICES. Rounds of _crossings that look for links first.
-BITS, WIDE, SLICES, FORESTS = 512, 256, 64, 2
+BITS, WIDE, SLICES, FORESTS = 512, 256, 64, 1
+#: Up to so many texts are fetched by a broadcast of their hashes; for more, all texts are shuffled.
+FEW = 300_000
 
 #: More than any sets share: a pair that is looked at in any case.
 LOOK = 1 << 40
@@ -338,7 +340,8 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         of = lambda c, side: known.select(F.col("node").alias(c), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(side))
         pairs = cut(pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").mapInArrow(_near_enough, "u long, v long"))
         needed = ends(pairs)
-        which = prints.join(needed, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+        which = cut(prints.join(needed, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash")))
+        which = F.broadcast(which) if which.count() <= FEW else which
         own = written(base.join(which, "text_hash").dropDuplicates(["node"]).select("node", "text").mapInArrow(whole, "node long, own binary"), "whole-sets")
         both = pairs.join(own.select(F.col("node").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("own").alias("b")), "v")
         return cut(both.select("u", "v", "a", "b").mapInArrow(_verified, "u long, v long"))
