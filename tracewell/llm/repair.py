@@ -54,17 +54,17 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray, first_rule: int) -> tuple[n
             break
         chosen = ordered[starts[order[np.argsort(-n[order], kind="stable")[:RULES_A_ROUND]]]]
         # of chosen pairs in one slot the most frequent is replaced now, the others in a later round
-        by_slot = np.zeros((1 << _BITS) + 1, np.int64)
+        by_slot = np.zeros((1 << _BITS) + 1, np.int32)
         by_slot[_slot(chosen[::-1])] = np.arange(len(chosen))[::-1]
         place = by_slot[slot[at]]
         own = chosen[place] == pairs[at]
         at, place = at[own], place[own]
         starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         run = np.repeat(starts, np.diff(starts, append=len(at)))
-        take = (np.arange(len(at)) - run) % 2 == 0
+        take = (np.arange(len(at)) - run) & 1 == 0
         at, place = at[take], place[take]
         number = np.zeros(len(chosen), np.int64)
-        for k in np.unique(place).tolist():  # overlaps may have left a pair for a later round
+        for k in np.flatnonzero(np.bincount(place, minlength=len(chosen))).tolist():  # overlaps may have left a pair for a later round
             pair = int(chosen[k])
             if pair not in known:
                 known[pair] = first_rule + len(rules)
@@ -74,9 +74,7 @@ def compress(ids: np.ndarray, doc_sizes: np.ndarray, first_rule: int) -> tuple[n
         symbols[at] = named
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        gone = np.concatenate([[0], np.cumsum(~keep)])
-        sizes = sizes - np.diff(gone[cuts])
+        sizes = sizes - np.diff(np.searchsorted(at + 1, np.cumsum(sizes)), prepend=0)
         symbols = symbols[keep]
     return symbols.astype("<u4"), np.array(rules, "<u4").reshape(-1, 2), sizes.astype("<u4")
 
