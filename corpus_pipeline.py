@@ -6,10 +6,15 @@ as Parquet and read again. All but the last return the columns of docs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import decontaminate, exact_dedup, language, near_copies, packing
-from tracewell.llm.common import scratch, table
+from tracewell.llm.common import free_heaps, scratch, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +44,18 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
-STAGES = [("language", known_languages), ("exact_dedup", no_copies), ("near_dedup", no_near_copies), ("decontaminate", no_benchmark), ("packing", packed)]
+def _freed(stage: Stage) -> Stage:
+    """stage, begun after the executors gave back what the one before left of their heaps."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        free_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+STAGES = [(name, _freed(stage)) for name, stage in [("language", known_languages), ("exact_dedup", no_copies), ("near_dedup", no_near_copies), ("decontaminate", no_benchmark), ("packing", packed)]]
 
 #: SQL can't run the network of the first stage; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -448,6 +448,17 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
         assert stage(spark, nothing, str(tmp_path)).count() == 0, name
 
 
+def test_pipeline_stages_begin_with_heaps_given_back(spark):
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    texts = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+    before = whole()
+    pieces = dict(corpus_pipeline.STAGES)["packing"](spark, texts, "")
+    assert whole() > before and sorted((p.doc_id, p.length, p.offset) for p in pieces.collect()) == [(1, 3, 0), (2, 1, 3)]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (7, 7), (None, 3)], "u long, v long")
     got = {r.node: r.component for r in connected_components(e).collect()}

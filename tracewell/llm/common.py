@@ -38,6 +38,12 @@ def give_back() -> None:
         trim(0)
 
 
+def free_heaps(spark: SparkSession) -> None:
+    """Have the executors collect garbage and return heap that is then unused to the system. A heap keeps the size that one step grew it to, and the next step's Python workers come on top. An executor that gets none of the tasks keeps its heap; no result depends on it."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir; where that is unset, as in tests, an own one."""
     sc = spark.sparkContext
