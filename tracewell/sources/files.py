@@ -113,17 +113,18 @@ def recogniser(name: str = "auto") -> Callable:
 def words_with_chars(words: DataFrame, chars: DataFrame) -> DataFrame:
     """words(doc_id, page, word, text, x0, top, x1, bottom) with char_boxes: the boxes of the characters inside each word, within 1 point, from left to right; null where they don't spell it.
 
-    Words and characters meet by strips of the page eight points high.
+    Words and characters meet by strips of the page eight points high. They are never broadcast: a table that was
+    exploded is larger than Spark's estimate.
     """
     strip = 8.0
     spread = words.withColumn("strip", F.explode(F.sequence(F.floor((F.col("top") - 1) / strip), F.floor((F.col("bottom") + 1) / strip))))
     own = chars.select("doc_id", "page", F.floor(F.col("top") / strip).alias("strip"), F.col("text").alias("ch"), F.col("x0").alias("cx0"), F.col("top").alias("ctop"), F.col("x1").alias("cx1"), F.col("bottom").alias("cbottom"))
     inside = (F.col("cx0") >= F.col("x0") - 1) & (F.col("cx1") <= F.col("x1") + 1) & (F.col("ctop") >= F.col("top") - 1) & (F.col("cbottom") <= F.col("bottom") + 1)
-    met = spread.join(own, ["doc_id", "page", "strip"]).where(inside)
+    met = spread.join(own.hint("merge"), ["doc_id", "page", "strip"]).where(inside)
     per = met.groupBy("doc_id", "page", "word").agg(F.array_sort(F.collect_list(F.struct("cx0", "ctop", "cx1", "cbottom", "ch"))).alias("cs"))
     boxes = F.transform("cs", lambda c: F.struct(c["cx0"].alias("x0"), c["ctop"].alias("top"), c["cx1"].alias("x1"), c["cbottom"].alias("bottom")))
     spelled = F.array_join(F.transform("cs", lambda c: c["ch"]), "") == F.col("text")
-    return words.join(per, ["doc_id", "page", "word"], "left").withColumn("char_boxes", F.when(spelled, boxes)).drop("cs")
+    return words.join(per.hint("merge"), ["doc_id", "page", "word"], "left").withColumn("char_boxes", F.when(spelled, boxes)).drop("cs")
 
 
 def load_env(start: str | Path = ".", into: dict | None = None) -> Path | None:
